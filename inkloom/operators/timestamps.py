@@ -9,7 +9,7 @@ distances, day words, dates without year) are resolved in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,8 +95,17 @@ class TimestampDictionary:
         return self.entries()
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, which keeps the generated code small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _local_to_utc(local_sec: Column, zone: Column) -> Column:
     """UTC second of a wall-clock second; NULL where the zone skipped it or showed it twice."""
+    return _let(local_sec, lambda local: _local_to_utc_once(local, zone))
+
+
+def _local_to_utc_once(local_sec: Column, zone: Column) -> Column:
     utc = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local_sec), zone))
 
     def shows(sec: Column) -> Column:
@@ -119,7 +128,7 @@ def _resolved(reference: Column) -> Column:
         local = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.col("second_of_day")
         return F.when(local <= local_ref, local)
 
-    latest = F.coalesce(*[candidate(F.lit(i)) for i in range(YEARS_BACK + 1)])
+    latest = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(YEARS_BACK)), candidate))
     return (
         F.when(F.col("kind") == "instant", F.col("utc_sec"))
         .when(F.col("kind") == "distance", reference - F.col("distance_sec"))
