@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import lines, mixing, quality, split
+from inkloom.llm import lines, mixing, neardup, quality, split
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
@@ -34,6 +34,20 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles with a similarity of at least 0.7."""
+    return _near(spark, sf_dir).row_pairs().select(F.col("a").alias("row_a"), F.col("b").alias("row_b"))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with its group of near-duplicates and its number of links."""
+    return _near(spark, sf_dir).groups().select(F.col("id").alias("row_id"), F.col("group").alias("group_id"), "n_links")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), id_col="doc_id", text_col="text", source_col="source")
 
@@ -59,7 +73,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_pieces, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
