@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import lines, mixing, neardup, quality, split
+from inkloom.llm import leakage, lines, mixing, neardup, quality, split
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
@@ -48,6 +48,24 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().select(F.col("id").alias("row_id"), F.col("group").alias("group_id"), "n_links")
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", item_lang_col="lang"
+    )
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an evaluation item, with each such item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each evaluation item leaked, and its longest passage."""
+    leaks = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("passage_chars").alias("longest_passage"))
+    items = table(spark, sf_dir, "eval_item").select("item_id", "lang")
+    return items.join(leaks, "item_id", "left").fillna(0, ["n_documents", "longest_passage"])
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), id_col="doc_id", text_col="text", source_col="source")
 
@@ -73,7 +91,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
