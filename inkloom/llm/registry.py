@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import leakage, lines, mixing, neardup, quality, split
+from inkloom.llm import encoding, leakage, lines, mixing, neardup, quality, split
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(
+        table(spark, sf_dir, "article_cache"), table(spark, sf_dir, "documents"), id_col="row_id", fields={"title": False, "content_html": True}, clean_col="text"
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and pages that hold text read in a wrong encoding."""
+    return _garbled(spark, sf_dir).select("row_id", "field")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored titles and pages, with the encodings found."""
+    return _garbled(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that its platform shows in at least 2 % and 10 of its articles."""
     docs = table(spark, sf_dir, "article_cache")
@@ -91,7 +107,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
