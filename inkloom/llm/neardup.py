@@ -24,15 +24,19 @@ from inkloom.session import written
 #: Characters of a shingle.
 SHINGLE = 5
 #: Bands and samples per band.
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
 #: Buckets of the document-frequency histogram (2**DF_BITS), whatever the size of the corpus.
 DF_BITS = 18
+#: Power of the inverse document frequency in a shingle's weight: phrases many texts share hardly count.
+IDF_POWER = 2.0
 #: Entries of the tables of random draws, one set for each sample.
 TABLE_BITS = 16
 #: Texts in a bucket from which its pairs are made by several tasks.
 BLOCK = 200
 #: Texts handled at a time in Python.
-CHUNK = 400
+CHUNK = 2000
+#: A sample's value is looked for up to exp(SLACK) times its expected size before a text is evaluated in full.
+SLACK = 1.8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,19 +61,15 @@ def shingle_hashes(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def _distinct(at: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: ``(text index, hash, term frequency)``, ordered by text."""
-    order = (key & np.uint64(~((1 << 12) - 1) & 0xFFFFFFFFFFFFFFFF))  # the low bits make room for the text
-    packed = np.sort(order | at.astype(np.uint64)) if n <= 1 << 12 else None
-    if packed is None:
+    """Distinct shingles of each text: ``(text index, hash, term frequency)``, ordered by hash."""
+    if n > 1 << 12:
         raise ValueError("at most 4096 texts at a time")
-    new = np.ones(len(packed), dtype=bool)
-    new[1:] = packed[1:] != packed[:-1]
-    where = np.flatnonzero(new)
+    low = np.uint64((1 << 12) - 1)  # the low bits make room for the text
+    packed = np.sort((key & ~low) | at.astype(np.uint64))
+    where = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if len(packed) else np.zeros(0, dtype=np.int64)
     tf = np.diff(np.append(where, len(packed)))
     packed = packed[where]
-    doc = (packed & np.uint64((1 << 12) - 1)).astype(np.int64)
-    by_doc = np.argsort(doc, kind="stable")
-    return doc[by_doc], packed[by_doc] >> np.uint64(12), tf[by_doc]
+    return (packed & low).astype(np.int64), packed >> np.uint64(12), tf
 
 
 def _chunks(values: list, size: int = CHUNK) -> Iterator[list]:
@@ -129,64 +129,70 @@ def weighted_samples(doc: np.ndarray, key: np.ndarray, log_w: np.ndarray, n: int
 
     ``log a = log c - r (t - beta) - r`` with ``t = floor(log w / r + beta)``;
     the shingle with the least ``a`` is the sample, identified by it and ``t``.
-    Only shingles whose lower bound ``log c - r - log w`` can still win are
-    evaluated; a text without such a shingle is evaluated in full.
+    ``log c - r - log w`` is a lower bound of it, so a shingle whose bound is
+    above a text's limit cannot win there once a winner is below the limit;
+    the bound is looked up once for each different shingle of all texts.  A
+    text without a winner below its limit is evaluated in full.  The shingles
+    (``doc``, ``key``, ``log_w``) are ordered by ``key``.
     """
     r_all, c_all, b_all = _tables(samples, seed)
     bound_all = c_all - r_all
     out = np.zeros((n, samples), dtype=np.uint64)
     if not len(doc):
         return out
-    start = np.searchsorted(doc, np.arange(n + 1))
-    has = start[1:] > start[:-1]
-    filled = np.flatnonzero(has)
     lw = log_w.astype(np.float32)
-    # log of a text's total weight: the least a is about 1 / weight
-    total = np.log(np.maximum(np.add.reduceat(np.exp(lw), start[:-1][has]), 1e-9))
-    limit = np.zeros(n, dtype=np.float32)
-    limit[filled] = 2.0 - total
+    # the least a of a text is about 1 / its total weight
+    total = np.bincount(doc, weights=np.exp(lw), minlength=n)
+    filled = np.flatnonzero(total > 0)
+    limit = np.full(n, -np.inf, dtype=np.float32)
+    limit[filled] = SLACK - np.log(total[filled])
     slack = limit[doc] + lw
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(start, len(key)))
+    unique = key[start]
+    most = np.maximum.reduceat(slack, start)
+    of_unique = np.repeat(np.arange(len(start)), count)
+    by_doc = np.argsort(doc, kind="stable")
+    edge = np.searchsorted(doc[by_doc], np.arange(n + 1))
+    tie = (key & np.uint64(0xFFFFF)).astype(np.float64) * 1e-13
     for k0 in range(0, samples, 4):
-        mixed = (key ^ np.uint64(0xD6E8FEB86659FD93 * (k0 + 1) & 0xFFFFFFFFFFFFFFFF)) * _MIX
+        mixed = (unique ^ np.uint64(0xD6E8FEB86659FD93 * (k0 + 1) & 0xFFFFFFFFFFFFFFFF)) * _MIX
         mixed ^= mixed >> np.uint64(32)
-        fields = (mixed * np.uint64(0xBF58476D1CE4E5B9)).view(np.uint16).reshape(-1, 4)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
         for j in range(min(4, samples - k0)):
             k = k0 + j
-            index = fields[:, j]
-            live = np.flatnonzero(bound_all[k].take(index) <= slack)
-            seen = np.zeros(n, dtype=bool)
-            out_k = np.full(n, np.inf)
-            ident = np.zeros(n, dtype=np.uint64)
-
-            def settle(rows: np.ndarray) -> None:
-                i = index[rows]
-                r = r_all[k].take(i)
+            index = ((mixed >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.intp)
+
+            def least(rows: np.ndarray, i: np.ndarray, best: np.ndarray, ident: np.ndarray) -> None:
+                r, w = r_all[k].take(i), lw[rows]
                 b = b_all[k].take(i)
-                t = np.floor(lw[rows] / r + b)
-                a = (c_all[k].take(i) - r * (t - b) - r).astype(np.float64)
-                d = doc[rows]
+                t = np.floor(w / r + b)
                 # ties on the tables' entries are settled by the shingle itself
-                a += (key[rows] & np.uint64(0xFFFFF)).astype(np.float64) * 1e-13
-                edges = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                least = np.minimum.reduceat(a, edges)
-                owner = d[edges]
-                hit = np.flatnonzero(a == np.repeat(least, np.diff(np.append(edges, len(d)))))
-                ident[d[hit]] = (key[rows][hit] * _MIX) ^ (t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-                out_k[owner] = least
-                seen[owner] = True
+                a = (c_all[k].take(i) - r * (t - b) - r).astype(np.float64) + tie[rows]
+                d = doc[rows]
+                np.minimum.at(best, d, a)
+                hit = np.flatnonzero(a == best[d])
+                ident[d[hit]] = (key[rows[hit]] * _MIX) ^ (t[hit].astype(np.int64).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
+            best, ident = np.full(n, np.inf), np.zeros(n, dtype=np.uint64)
+            bound = bound_all[k].take(index)
+            live = np.flatnonzero(bound <= most)
             if len(live):
-                settle(live)
-            # a bound that let only losers through proves nothing: check the winner against the limit
-            bad = filled[~(seen[filled] & (out_k[filled] <= limit[filled]))]
-            if len(bad):
-                settle(np.concatenate([np.arange(start[b], start[b + 1]) for b in bad]))
+                size = count[live]
+                rows = np.repeat(start[live] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                i = np.repeat(index[live], size)
+                inside = np.flatnonzero(bound_all[k].take(i) <= slack[rows])
+                least(rows[inside], i[inside], best, ident)
+            open_ = filled[best[filled] > limit[filled]]
+            if len(open_):
+                rows = np.concatenate([by_doc[edge[d] : edge[d + 1]] for d in open_])
+                least(rows, index[of_unique[rows]], best, ident)
             out[:, k] = ident
     return out
 
 
 def _idf(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log(np.log1p(n / np.maximum(df, 1.0))).astype(np.float32)
+    return (IDF_POWER * np.log(np.log1p(n / np.maximum(df, 1.0)))).astype(np.float32)
 
 
 def band_keys(texts: list[str], log_idf: np.ndarray, bands: int, rows: int) -> np.ndarray:
