@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import encoding, leakage, lines, mixing, neardup, quality, split
+from inkloom.llm import encoding, leakage, lines, mixing, neardup, quality, residue, split
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
@@ -50,6 +50,13 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and items that hold residue instead of content."""
+    pages = residue.find_residue_pages(table(spark, sf_dir, "article_cache"), id_col="row_id", html_col="content_html", extracted_col="content_markdown", title_col="title")
+    notes = residue.find_residue_notes(table(spark, sf_dir, "article_item"), id_col="row_id", note_col="error_reason")
+    return pages.filter("is_residue").select(F.lit("article_cache").alias("tbl"), "row_id").unionByName(notes.select(F.lit("article_item").alias("tbl"), "row_id"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
 
@@ -107,7 +114,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
