@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import encoding, leakage, lines, mixing, neardup, quality, residue, split
+from inkloom.llm import boilerplate, encoding, leakage, lines, mixing, neardup, quality, residue, split
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
 
 
+def _main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_blocks(
+        table(spark, sf_dir, "article_cache"), table(spark, sf_dir, "site"), id_col="row_id", html_col="content_html", extracted_col="content_markdown", title_col="title"
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct main blocks of every article page."""
+    return _main(spark, sf_dir).select("row_id", F.md5(F.encode("block", "UTF-8")).alias("block_md5")).distinct()
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every article page, one block a line."""
+    blocks = _main(spark, sf_dir).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("position", "block"))).alias("b"))
+    return blocks.select("row_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("main_text"))
+
+
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(
         table(spark, sf_dir, "article_cache"), table(spark, sf_dir, "documents"), id_col="row_id", fields={"title": False, "content_html": True}, clean_col="text"
@@ -114,7 +131,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
