@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import problems
+from inkloom.plans import problems, texts
 
-_MODULES = [problems]
+_MODULES = [texts]
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in _MODULES for name, f in m.C.queries.items()} | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in _MODULES for name, sql in m.C.sql.items()} | problems.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
