@@ -55,10 +55,10 @@ class NgramModels:
             total += logs[:, _buckets(codes, size)]
         return total / len(SIZES), starts
 
-    def text_scores(self, texts: list[str]) -> np.ndarray:
+    def text_scores(self, texts: list[str], scored: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Score of each class per character, one row a text."""
         if not texts:
             return np.zeros((0, len(self.names)))
-        total, starts = self.scores(texts)
+        total, starts = scored or self.scores(texts)
         sums = np.add.reduceat(total, starts, axis=1)
         return (sums / np.maximum(np.diff(np.append(starts, total.shape[1])), 1)).T
