@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import problems, texts
+from inkloom.plans import problems, relational, texts
 
-_MODULES = [texts]
+_MODULES = [texts, relational]
 
 
 def queries() -> dict:
