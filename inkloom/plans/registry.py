@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import problems, relational, texts
+from inkloom.plans import htmlplans, problems, relational, rendering, texts
 
-_MODULES = [texts, relational]
+_MODULES = [texts, relational, rendering, htmlplans]
 
 
 def queries() -> dict:
