@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.plans import htmlplans, problems, relational, rendering, texts
+from inkloom.plans import flows, htmlplans, problems, relational, rendering, texts
 
-_MODULES = [texts, relational, rendering, htmlplans]
+_MODULES = [texts, relational, rendering, htmlplans, flows]
 
 
 def queries() -> dict:
