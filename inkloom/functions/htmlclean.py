@@ -55,12 +55,14 @@ class _Builder(HTMLParser):
                 self.skip.append(tag)
             return
         if tag in _CLOSES:
+            outermost = None
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag in _CLOSES[tag]:
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in ("ul", "ol", "table", "blockquote", "div", "section"):
+                    outermost = i
+                elif self.open[i].tag in ("ul", "ol", "table", "blockquote", "div", "section"):
                     break
+            if outermost is not None:
+                del self.open[outermost:]
         elif tag in _BLOCKS and self.open[-1].tag == "p":
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})

@@ -59,7 +59,7 @@ def inline_runs(text: str) -> list[tuple[str, str, str]]:
 def blocks(md: str) -> list[tuple[str, int, str]]:
     """``(kind, level, text)``: heading, bullet, ordered, quote, code, table, image, rule, paragraph.
 
-    The level is a heading's rank or a list item's indent.  A lone bullet takes
+    The level is a heading's rank, a list item's indent or a quotation's depth.  A lone bullet takes
     the next line of text as its own; table cells are joined by tabs.
     """
     out: list[tuple[str, int, str]] = []
@@ -104,7 +104,8 @@ def blocks(md: str) -> list[tuple[str, int, str]]:
             out.append(("image", 0, m[2]))
         elif bare.startswith(">"):
             end()
-            out.append(("quote", len(bare) - len(bare.lstrip("> ")), bare.lstrip("> ")))
+            quoted = bare.lstrip("> ")
+            out.append(("quote", bare[: len(bare) - len(quoted)].count(">"), quoted))
         elif bare.startswith("|"):
             end()
             if not _SEPARATOR.match(bare):

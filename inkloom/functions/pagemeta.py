@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,12 +61,30 @@ def tolerant_items(doc: Column) -> Column:
     return F.when(F.startswith(bare, F.lit("[")), whole).when(under.isNotNull(), under).when(F.startswith(bare, F.lit("{")), F.array(doc)).otherwise(F.array().cast(array))
 
 
-def decode_sniffed(raw: Column) -> Column:
+def sniffed(raw: bytes | None) -> str | None:
     """Bytes decoded by the charset named in the first KB; latin-1 and the Chinese ones are read as GB18030."""
-    head = F.lower(F.decode(F.substring(raw, 1, 1024), "ISO-8859-1"))
-    named = F.regexp_extract(head, r"""charset=["']?([a-z0-9_-]+)""", 1)
-    chinese = named.isin("gb2312", "gbk", "gb18030", "iso-8859-1", "latin1")
-    return F.when(chinese, F.decode(raw, "GBK")).when(named == "utf-16", F.decode(raw, "UTF-16")).otherwise(F.decode(raw, "UTF-8"))
+    if raw is None:
+        return None
+    named = re.search(rb"""charset=["']?([A-Za-z0-9_-]+)""", raw[:1024])
+    charset = named[1].decode("ascii").lower() if named else "utf-8"
+    if charset in ("gb2312", "gbk", "gb18030", "iso-8859-1", "latin1"):
+        charset = "gb18030"
+    try:
+        return raw.decode(charset, "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
+def decode_sniffed(df: DataFrame, *, id_col: str, raw_col: str) -> DataFrame:
+    """``(id, decoded)``: binary pages as text; NULL stays NULL."""
+    slim = df.select(F.col(id_col).alias("__id"), F.col(raw_col).alias("raw"))
+    schema = T.StructType([slim.schema["__id"], T.StructField("decoded", T.StringType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sniffed(r) for r in batch.column(1).to_pylist()], pa.string())], names=schema.names)
+
+    return slim.mapInArrow(decode, schema).withColumnRenamed("__id", id_col)
 
 
 def json_after(df: DataFrame, *, id_col: str, text_col: str, marker: str) -> DataFrame:

@@ -89,8 +89,8 @@ def html_clean_markdown(t) -> DataFrame:
     return htmlclean.clean_pages(t("article_cache"), id_col="row_id", html_col="content_html", title_col="title")
 
 
-@add()
+@add("""SELECT row_id, '<meta charset="utf-8">' || title AS decoded FROM article_cache""")
 def charset_decoded(t) -> DataFrame:
     """Pages decoded from bytes by the charset they name."""
     raw = F.encode(F.concat(F.lit('<meta charset="utf-8">'), "title"), "UTF-8")
-    return t("article_cache").select("row_id", pagemeta.decode_sniffed(raw).alias("decoded"))
+    return pagemeta.decode_sniffed(t("article_cache").withColumn("raw", raw), id_col="row_id", raw_col="raw")
