@@ -108,7 +108,7 @@ def plan_mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = N
         r["available"] = available.get(r["source"], 0)
         r["share"] = r["weight"] / weight if r["available"] else 0.0
     reach = [r["max_repeat"] * r["available"] / r["share"] for r in rows if r["share"]]
-    total = min(reach) if total_tokens is None else float(total_tokens)
+    total = min(reach, default=0.0) if total_tokens is None else float(total_tokens)
     rest = {}
     for r in rows:
         quota = min(r["share"] * total, r["max_repeat"] * r["available"]) if r["available"] else 0.0

@@ -25,6 +25,7 @@ PIECE_SCHEMA = "piece_no int, start long, end long, overlap long, cut string, pi
 _LINE_END = re.compile(r"\r?\n")
 _PARAGRAPH = re.compile(r"\r?\n(?:[ \t\r]*\n)+")
 _SENTENCE = re.compile(r"[。！？]|[.!?](?=[ \t])")
+_SENTENCE_GAP = re.compile(r"(?:[。！？]|[.!?](?=[ \t]))[ \t]*")
 _SPACE = re.compile(r"[ \t\r\n]+")
 _WHITE = " \t\r\n"
 
@@ -34,7 +35,7 @@ def boundary_offsets(text: str) -> dict[str, np.ndarray]:
     ends = {
         "paragraph": [m.end() for m in _PARAGRAPH.finditer(text)],
         "line": [m.end() for m in _LINE_END.finditer(text)],
-        "sentence": [m.end() for m in _SENTENCE.finditer(text)],
+        "sentence": [m.end() for m in _SENTENCE_GAP.finditer(text)],
         "word": [m.end() for m in _SPACE.finditer(text)],
     }
     return {k: np.asarray(v, dtype=np.int64) for k, v in ends.items()}
