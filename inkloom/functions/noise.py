@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import trim_ws
+from inkloom.functions.text import let, trim_ws
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,16 @@ def filter_noise(text: Column, rules: NoiseRules = RULES) -> Column:
 
     NULL gives ''.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    stop = F.array_min(F.transform(lines, lambda line, i: F.when(trim_ws(line).rlike(rules.stop_pattern), i)))
-    kept = F.slice(lines, 1, F.coalesce(stop, F.size(lines)))
+
+    def filtered(lines: Column) -> Column:
+        stop = F.array_min(F.transform(lines, lambda line, i: F.when(line["bare"].rlike(rules.stop_pattern), i)))
+        kept = let(stop, lambda at: F.slice(lines, 1, F.coalesce(at, F.size(lines))))
+        return F.array_join(F.transform(F.filter(kept, stays), lambda line: line["raw"]), "\n")
 
     def stays(line: Column) -> Column:
-        bare = trim_ws(line)
+        bare = line["bare"]
         short = (F.length(bare) < rules.short) & bare.rlike(rules.word_pattern)
-        return (bare == "") | ~(bare.rlike(rules.drop_pattern) | short)
+        return (bare == "") | ~(short | bare.rlike(rules.drop_pattern))
 
-    return trim_ws(F.regexp_replace(F.array_join(F.filter(kept, stays), "\n"), r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.struct(line.alias("raw"), trim_ws(line).alias("bare")))
+    return trim_ws(F.regexp_replace(let(lines, filtered), r"\n{3,}", "\n\n"))

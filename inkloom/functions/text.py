@@ -6,11 +6,15 @@ as neither engine's ``\\s`` holds the ideographic or the no-break blank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Every character Unicode counts as white space.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters, for native trims.
+WS_CHARS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Characters file systems reserve.
 RESERVED = r'[\\/:*?"<>|]'
 
@@ -26,7 +30,12 @@ TITLE_TYPES = {"【专栏】": "article", "【专栏文章】": "article", "【
 
 def trim_ws(text: Column) -> Column:
     """Strip all Unicode white space from both ends."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once for each row: inside lambdas an outer expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def squeeze(text: Column) -> Column:
@@ -82,18 +91,18 @@ def quote_lines(text: Column) -> Column:
 
 def strip_leading_title(body: Column, title: Column) -> Column:
     """A body without the blank lines and title lines it begins with."""
-    named = F.lower(trim_ws(title))
-
-    def leads(line: Column) -> Column:
-        bare = trim_ws(line)
-        no_hash = trim_ws(F.regexp_replace(bare, f"^#+[{WS}]*", ""))
-        return (bare == "") | (F.lower(no_hash) == named) | ((title != "") & F.startswith(bare, title))
-
-    lines = F.split(F.coalesce(body, F.lit("")), "\n")
-    keep = F.transform(lines, lambda line, i: F.when(~F.coalesce(leads(line), F.lit(False)), i))
-    first = F.array_min(keep)
-    rest = F.slice(lines, first + 1, F.size(lines))
-    return F.when(first.isNull(), F.lit("")).otherwise(trim_ws(F.array_join(rest, "\n")))
+
+    def stripped(lines: Column, named: Column) -> Column:
+        def leads(bare: Column) -> Column:
+            no_hash = F.when(F.startswith(bare, F.lit("#")), trim_ws(F.regexp_replace(bare, f"^#+[{WS}]*", ""))).otherwise(bare)
+            return (bare == "") | (F.lower(no_hash) == named["lower"]) | ((named["title"] != "") & F.startswith(bare, named["title"]))
+
+        first = F.array_min(F.transform(F.transform(lines, trim_ws), lambda bare, i: F.when(~F.coalesce(leads(bare), F.lit(False)), i)))
+        rest = let(first, lambda at: F.when(at.isNotNull(), trim_ws(F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n"))))
+        return F.coalesce(rest, F.lit(""))
+
+    named = F.struct(F.lower(trim_ws(title)).alias("lower"), title.alias("title"))
+    return let(F.split(F.coalesce(body, F.lit("")), "\n"), lambda lines: let(named, lambda n: stripped(lines, n)))
 
 
 def markdown_to_text(md: Column) -> Column:

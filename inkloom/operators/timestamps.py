@@ -9,13 +9,14 @@ distances, day words, dates without year) are resolved in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.functions.text import let
 from inkloom.functions.timeparse import parse_written
 from inkloom.operators.skew import salted_lookup
 from inkloom.session import written
@@ -95,14 +96,9 @@ class TimestampDictionary:
         return self.entries()
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value computed once, which keeps the generated code small."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _local_to_utc(local_sec: Column, zone: Column) -> Column:
     """UTC second of a wall-clock second; NULL where the zone skipped it or showed it twice."""
-    return _let(local_sec, lambda local: _local_to_utc_once(local, zone))
+    return let(local_sec, lambda local: _local_to_utc_once(local, zone))
 
 
 def _local_to_utc_once(local_sec: Column, zone: Column) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkloom.plans import flagship as flagship_plan
 from inkloom.plans import flows, htmlplans, problems, relational, rendering, texts
 
 _MODULES = [texts, relational, rendering, htmlplans, flows]
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.C.queries.items()} | problems.QUERIES
+    return {name: f for m in _MODULES for name, f in m.C.queries.items()} | problems.QUERIES | {"flagship_catalogue": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -18,4 +19,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_found(spark, sf_dir)
+    return flagship_plan.catalogue(spark, sf_dir)
