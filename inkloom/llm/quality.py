@@ -27,7 +27,9 @@ COMMON_WORDS = (
 COMMON_CHARS = "的了在是我有和就不人都一上也很到说要去你会着没看好自己这那而与把被让从但还之以因为所哪怕既然虽却往真正那么"
 
 _END = r'[。！？.!?…]["”’»›」』)）\]*_]*$'
-_BULLET = r"^(?:[-*+•▪◆·●○■□▸►‣–—]|\d{1,3}[.)、．]|\d{1,3}(?:\.\d{1,3})+|[(（]\d{1,3}[)）]|[a-zA-Z][.)]|\[[ xX]\]|[①-⑳一二三四五六七八九十]{1,3}、)\s*\S"
+_BULLET = r"^(?:[-*+•▪◆·●○■□▸►‣–—]|[(（]\d{1,3}[)）]|[a-zA-Z][.)]|\[[ xX]\]|[①-⑳一二三四五六七八九十]{1,3}、)\s*\S"
+_NUMBERED = r"^\d{1,3}[.)、．](?:\s+\S|[^\s\d.])"
+_CHAPTER = r"^\d{1,3}(?:\.\d{1,3})+\s+\S"
 _MARK_CELL = r"\S ?(?:\.{4,}|…{2,}|·{4,}|_{4,}|-{4,}) ?\S|[|║│¦].*[|║│¦]|\t.*\S|\S(?: {2,}|　+)\S.*(?: {2,}|　+)\S|\S {4,}\S|^[^|║│]{1,40} ?[|║│] ?[^|║│]{1,24}$|^\|?[-:| ]{5,}\|?$"
 _CSV = r"^[^,;。，！？]{0,30}(?:[,;][^,;\s。，！？][^,;。，！？]{0,24}){2,}$"
 _PAIR = r"^[^:：=。！？]{1,40}(?:[:：=→]| - )\s*[^。！？]{1,48}$"
@@ -43,6 +45,10 @@ STATS = [
     ("distinct_word_share", T.DoubleType()), ("distinct_gram_share", T.DoubleType()), ("encoded_share", T.DoubleType()),
     ("row_line_share", T.DoubleType()), ("prose_share", T.DoubleType()), ("entry_share", T.DoubleType()), ("cell_share", T.DoubleType()), ("machine_share", T.DoubleType()),
 ]
+#: Share of distinct n-grams below which a text repeats itself.
+REPEATED = 0.4
+#: Characters over which distinct n-grams are counted.
+STRETCH = 1000
 #: Length from which one line without any sentence end is no entry of a list.
 LONG_LINE = 160
 #: An unmarked line without sentence end is an entry below these lengths (second: with Han characters).
@@ -68,28 +74,32 @@ def _chars(a: pa.Array, runs: str) -> np.ndarray:
 
 
 def _distinct_grams(texts: list[str], size: int = 4) -> np.ndarray:
-    """Distinct character ``size``-grams over all, per text."""
+    """Distinct character ``size``-grams over all, per text, counted anew every STRETCH characters so that length does not matter."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
     if len(codes) < size:
         return np.ones(len(texts))
+    parts = np.maximum(-(-lengths // STRETCH), 1)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    stretch = np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), lengths) + (np.arange(len(codes)) - first[owner]) // STRETCH
     key = np.zeros(len(codes) - size + 1, dtype=np.uint64)
     for i in range(size):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - size + 1 + i] + np.uint64(1)
-    inside = doc[: len(key)] == doc[size - 1 :]
-    d, k = doc[: len(key)][inside], key[inside]
-    pairs = np.sort((k << np.uint64(20)) | (d + np.uint64(1)))
-    first = np.ones(len(pairs), dtype=bool)
-    first[1:] = pairs[1:] != pairs[:-1]
-    mask = np.uint64((1 << 20) - 1)
-    distinct = np.bincount(((pairs[first] & mask) - np.uint64(1)).astype(np.int64), minlength=len(texts))
-    total = np.maximum(lengths - size + 1, 1)
-    return np.where(lengths >= size, distinct / total, 1.0)
+        key = (key ^ codes[i : len(codes) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    inside = owner[: len(key)] == owner[size - 1 :]
+    at, k = stretch[: len(key)][inside], key[inside]
+    bits = np.uint64(max(int(parts.sum()) - 1, 1).bit_length())
+    pairs = np.sort((k << bits) | at.astype(np.uint64))
+    new = np.append(True, pairs[1:] != pairs[:-1])
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    whose = np.repeat(np.arange(len(texts)), parts)[(pairs[new] & mask).astype(np.int64)]
+    distinct = np.bincount(whose, minlength=len(texts))
+    return np.where(lengths >= size, distinct / np.maximum(lengths - size + 1, 1), 1.0)
 
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The statistics STATS of an array of texts without nulls (at most 2**20 - 2 texts)."""
+    """The statistics STATS of an array of texts without nulls."""
     n = len(texts)
     chars = np.asarray(pc.utf8_length(texts)).astype(np.float64)
     solid = np.maximum(chars - _chars(texts, r"\s+"), 1.0)
@@ -104,6 +114,7 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
     ends, bullet = _flag(lines, _END), _flag(lines, _BULLET)
     bare = pc.replace_substring_regex(lines, r"[.…·_-]{3,}", " ")
+    bullet |= _flag(lines, _NUMBERED) | _flag(lines, _CHAPTER) & ~_flag(lines, r"[。！？.!?]$")
     inner_end = _flag(bare, r"[。！？]|[^\s\d.][.!?][\"”»)]*\s")
     log = _flag(lines, _LOG)
     cell = _flag(lines, _MARK_CELL) | (_flag(lines, _CSV) & ~ends)
@@ -172,7 +183,7 @@ def failed_rules(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "mostly_symbols": long & (s["letter_ratio"] < 0.5) & (s["cell_share"] < MOSTLY) & (s["machine_share"] < MOSTLY) & (s["entry_share"] < MOSTLY),
         "symbol_soup": long & (s["letter_ratio"] < 0.2) & (s["cell_share"] < MOSTLY),
         "machine_output": s["machine_share"] > MOSTLY,
-        "repeats_itself": long & (s["distinct_gram_share"] < 0.30) & (s["cell_share"] < MOSTLY),
+        "repeats_itself": long & (s["distinct_gram_share"] < REPEATED) & (s["cell_share"] < MOSTLY),
         "no_sentence_end": (one | (s["n_chars"] >= LONG_LINE)) & (s["sentence_ends_per_100"] < 0.15) & (~rows | ((s["entry_share"] < MOSTLY) & (s["cell_share"] < MOSTLY))),
         "no_common_words": long & (s["common_word_share"] < 0.02) & (s["prose_share"] >= MOSTLY),
         # layout
