@@ -46,7 +46,7 @@ STATS = [
     ("row_line_share", T.DoubleType()), ("prose_share", T.DoubleType()), ("entry_share", T.DoubleType()), ("cell_share", T.DoubleType()), ("machine_share", T.DoubleType()),
 ]
 #: Share of distinct n-grams below which a text repeats itself.
-REPEATED = 0.4
+REPEATED = 0.3
 #: Characters over which distinct n-grams are counted.
 STRETCH = 1000
 #: Length from which one line without any sentence end is no entry of a list.
