@@ -11,9 +11,9 @@ NOTICES = """
 404 Not Found|404 - page not found|Error 404|Page not found|The page you requested could not be found|Sorry, this page does not exist|This page is gone for good|This page has moved|This post was removed by its owner|This post has been deleted|This article is no longer available|Content unavailable|The link has expired|This content is under review|Under moderation, check back later|Internal server error|500 Internal Server Error|Something went wrong, try again later|An unexpected error occurred|Service unavailable|Could not reach the data store|Database connection failed, please come back later|502 Bad Gateway|Gateway timeout|The site is down for maintenance|We are back in a few minutes|Bad request|Invalid parameter, go back|Access denied. Reference 6884|Forbidden|You do not have permission to view this page|Too many requests|Rate limit exceeded, please slow down|Back to home|Return to the home page|Go back
 Checking that you are human before going on|Verify that you are human|Please complete the security check|Are you a robot?|Unusual traffic from your network|Checking your browser before accessing the site|One more step: solve the captcha|Your request was blocked
 Please enable JavaScript to view this page.|This app needs scripts to run.|You need to enable JavaScript to run this app.|Scripts are switched off in your browser; turn them on and reload.|JavaScript is required|Your browser does not support scripts|Loading…|Loading, please wait|Please wait while the page loads|Redirecting…|You are being redirected|Opening the app|If you are not redirected, click here
-Seite nicht gefunden|404 Seite nicht gefunden|Diese Seite gibt es nicht mehr|Der Beitrag wurde vom Verfasser gelöscht|Dieser Beitrag ist nicht mehr verfügbar|Interner Serverfehler|Es ist ein Fehler aufgetreten|Bitte versuchen Sie es später erneut|Dienst nicht verfügbar|Wartungsarbeiten|Zugriff verweigert|Zu viele Anfragen|Bitte bestätigen Sie, dass Sie ein Mensch sind|Bitte aktivieren Sie JavaScript.|Diese Seite benötigt Skripte.|Ihr Browser unterstützt keine Skripte|Wird geladen…|Bitte warten|Sie werden weitergeleitet|Weiterleitung…|Zurück zur Startseite|Der Link ist abgelaufen|Wird geprüft, noch nicht sichtbar
-Page introuvable|Erreur 404|Cette page n’existe plus|L’article a été supprimé par son auteur|Ce contenu n’est plus disponible|Erreur interne du serveur|Une erreur est survenue|Veuillez réessayer plus tard|Service indisponible|Site en maintenance|Accès refusé|Trop de requêtes|Vérification que vous êtes humain|Confirmez que vous n’êtes pas un robot|Veuillez activer JavaScript.|Cette page a besoin de scripts.|Votre navigateur bloque les scripts|Chargement…|Chargement en cours, veuillez patienter|Redirection en cours|Vous allez être redirigé|Retour à l’accueil|Le lien a expiré
-Página no encontrada|Error 404|Esta página ya no existe|La entrada fue eliminada por su autor|Este contenido ya no está disponible|Error interno del servidor|Se ha producido un error|Inténtelo más tarde|Servicio no disponible|Sitio en mantenimiento|Acceso denegado|Demasiadas solicitudes|Comprobando que usted es humano|Confirme que no es un robot|Active JavaScript para continuar.|Esta página necesita scripts.|Su navegador bloquea los scripts|Cargando…|Cargando, espere|Redirigiendo…|Será redirigido|Volver al inicio|El enlace ha caducado
+Seite nicht gefunden|404 Seite nicht gefunden|Diese Seite gibt es nicht mehr|Der Beitrag wurde vom Verfasser gelöscht|Dieser Beitrag wurde gelöscht|Dieser Beitrag ist nicht mehr verfügbar|Interner Serverfehler|Es ist ein Fehler aufgetreten|Bitte versuchen Sie es später erneut|Dienst nicht verfügbar|Wartungsarbeiten|Zugriff verweigert|Zu viele Anfragen|Bitte bestätigen Sie, dass Sie ein Mensch sind|Bitte aktivieren Sie JavaScript.|Diese Seite benötigt Skripte.|Ihr Browser unterstützt keine Skripte|Wird geladen…|Bitte warten|Sie werden weitergeleitet|Weiterleitung…|Zurück zur Startseite|Der Link ist abgelaufen|Wird geprüft, noch nicht sichtbar
+Page introuvable|Erreur 404|Cette page n’existe plus|L’article a été supprimé par son auteur|Cet article a été supprimé|Ce contenu n’est plus disponible|Erreur interne du serveur|Une erreur est survenue|Veuillez réessayer plus tard|Service indisponible|Site en maintenance|Accès refusé|Trop de requêtes|Vérification que vous êtes humain|Confirmez que vous n’êtes pas un robot|Veuillez activer JavaScript.|Cette page a besoin de scripts.|Votre navigateur bloque les scripts|Chargement…|Chargement en cours, veuillez patienter|Redirection en cours|Vous allez être redirigé|Retour à l’accueil|Le lien a expiré
+Página no encontrada|Error 404|Esta página ya no existe|La entrada fue eliminada por su autor|Este artículo fue eliminado|Este contenido ya no está disponible|Error interno del servidor|Se ha producido un error|Inténtelo más tarde|Servicio no disponible|Sitio en mantenimiento|Acceso denegado|Demasiadas solicitudes|Comprobando que usted es humano|Confirme que no es un robot|Active JavaScript para continuar.|Esta página necesita scripts.|Su navegador bloquea los scripts|Cargando…|Cargando, espere|Redirigiendo…|Será redirigido|Volver al inicio|El enlace ha caducado
 """
 
 PLACEHOLDERS = """
@@ -32,7 +32,7 @@ connection reset, retried|read timeout after 73 s|connect timeout|request timed
 """
 
 _KEYS = "title author name date text body content html post article summary item page user site url image category tags id slug link".split()
-_FRAMES = ("{{{{{a}}}}}", "{{{{ {a} }}}}", "{{{{ {a}.{b} }}}}", "{{% {a} %}}", "<%= {a} %>", "<%= {a}.{b} %>", "%({a})s", "%%{A}%%", "@{a}@", "[{a}:{b}]", "[{a}]", "${{{a}}}", "#{{{a}}}", "{a}={{{b}}}", "{{{a}}}", "__{A}__", "[[{a}]]", "<?php echo ${a} ?>", "<?= ${a} ?>", "$[{a}]", "&lt;{a}&gt;", "{{{{{{{a}}}}}}}", "%{a}%", "{{$t('{a}')}}", "{a}: {{{{{b}}}}}")
+_FRAMES = ("{{{{{a}}}}}", "{{{{ {a} }}}}", "{{{{ {a}.{b} }}}}", "{{% {a} %}}", "<%= {a} %>", "<%= {a}.{b} %>", "%({a})s", "%%{A}%%", "@{a}@", "[{a}:{b}]", "[{a}]", "${{{a}}}", "#{{{a}}}", "{a}={{{b}}}", "{{{a}}}", "__{A}__", "__{A}_{B}__", "%%{A}_{B}%%", "[[{a}]]", "<?php echo ${a} ?>", "<?= ${a} ?>", "$[{a}]", "&lt;{a}&gt;", "{{{{{{{a}}}}}}}", "%{a}%", "{{$t('{a}')}}", "{a}: {{{{{b}}}}}")
 _LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo "
     "consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum "
@@ -59,7 +59,7 @@ def fillers(seed: int = 5) -> list[str]:
     for frame in _FRAMES:
         for _ in range(8):
             a, b = rng.choice(_KEYS), rng.choice(_KEYS)
-            out.append(frame.format(a=a, b=b, A=a.upper()))
+            out.append(frame.format(a=a, b=b, A=a.upper(), B=b.upper()))
     stems = ("lor ips dol am cons adip el tem lab magn al ven nos quis ex ut ad qu sed dol et ips ven nos lab cons tem").split()
     tails = ("em um or it et is us ur at iam ore sum tur ipsum am a es em is iat").split()
     for _ in range(60):
