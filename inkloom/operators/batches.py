@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 from inkloom.session import written
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """``df`` with dense positions from 1 in ``order``, across all partitions.
+def numbered(df: DataFrame, order: list[Column | str], name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with dense positions from 1 in ``order``, over all rows or within each ``by`` group.
 
-    The sorted rows are written once, so the partition of a row cannot change
-    between counting and numbering.
+    A group of any size is spread over the partitions of the sort.  The sorted
+    rows are written once, so the partition of a row cannot change between
+    counting and numbering.
     """
-    parted = written(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()), "numbered")
-    w = Window.partitionBy("__part").orderBy("__in")
-    counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    joined = parted.withColumn("__rn", F.row_number().over(w)).join(F.broadcast(before), "__part")
-    return joined.withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__part", "__in", "__n", "__before", "__rn")
+    by = by or []
+    groups = {f"__g{i}": F.col(c) for i, c in enumerate(by)}
+    parted = written(df.orderBy(*by, *order).withColumns({"__part": F.spark_partition_id(), "__in": F.monotonically_increasing_id(), **groups}), "numbered")
+    keys = ["__part", *groups]
+    counts = parted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(k).alias(f"__b{k}") for k in keys], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    on = F.col("__part") == F.col("__b__part")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__b{g}"))
+    ranked = parted.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("__in")))
+    joined = ranked.join(before if by else F.broadcast(before), on)
+    return joined.withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop(*keys, *[f"__b{k}" for k in keys], "__in", "__before", "__rn")
 
 
 def range_slice(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
@@ -33,9 +41,9 @@ def range_slice(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
 
 def units(df: DataFrame, unit: str, order: list[Column | str], above: int, size: int) -> DataFrame:
     """Position ``rn`` in each unit and ``part``: units of more than ``above`` rows in parts of ``size``."""
-    w = Window.partitionBy(unit)
-    rn, total = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumns({"rn": rn.cast("long"), "__n": total}).withColumn("part", F.when(F.col("__n") > above, F.floor((F.col("rn") - 1) / size)).otherwise(F.lit(0).cast("long"))).drop("__n")
+    totals = df.groupBy(F.col(unit).alias("__u")).agg(F.count(F.lit(1)).alias("__total"))
+    rows = numbered(df, order, "rn", by=[unit]).join(totals, F.col(unit).eqNullSafe(F.col("__u")))
+    return rows.withColumn("part", F.when(F.col("__total") > above, F.floor((F.col("rn") - 1) / size)).otherwise(F.lit(0).cast("long"))).drop("__u", "__total")
 
 
 def collision_names(df: DataFrame, folder: list[str], name: str, order: list[Column | str]) -> DataFrame:

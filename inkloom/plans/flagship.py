@@ -15,18 +15,21 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each distinct, usable article, numbered within its platform.
 
     Canonical address, first-wins dedup, validity, noise filter, content type,
-    the platform's most frequent author (a bounded lookup: one row a platform),
+    the platform's most frequent author,
     file name and catalogue line.
     """
     rows = table(spark, sf_dir, "article_cache")
-    rows = rows.filter(cache.is_valid()).withColumn("address", urls.canonical_url(F.col("url")))
+    # texts end here, before any shuffle: what follows travels without bodies
+    rows = rows.filter(cache.is_valid()).select(
+        "row_id", "platform", "author", "publish_time", "url", "cached_at", urls.canonical_url(F.col("url")).alias("address"), text.undouble(F.col("title")).alias("title"),
+        text.content_type(F.col("content_type"), F.col("title")).alias("kind"), F.length(noise.filter_noise(F.col("content_markdown"))).alias("n_chars"),
+    )
     rows = dedup.first_wins(rows, ["address"], [F.col("cached_at").desc(), "row_id"])
-    rows = rows.withColumns({"title": text.undouble(F.col("title")), "body": noise.filter_noise(F.col("content_markdown")), "kind": text.content_type(F.col("content_type"), F.col("title"))})
     top = votes.top_value(rows.filter(~F.col("author").isin(*votes.PLACEHOLDER_AUTHORS)), "author", "row_id", by=["platform"])
-    rows = rows.join(F.broadcast(top.select("platform", F.col("value").alias("top_author"))), "platform", "left")
+    rows = rows.join(top.select("platform", F.col("value").alias("top_author")), "platform", "left")
     rows = batches.units(rows, "platform", ["row_id"], above=800, size=500)
     return rows.select(
-        "platform", "part", "rn", "row_id", "address", "kind", "top_author", F.length("body").alias("n_chars"),
+        "platform", "part", "rn", "row_id", "address", "kind", "top_author", "n_chars",
         F.concat(F.format_string("%02d", "rn"), F.lit("_"), text.safe_filename(F.col("title"), limit=45), F.lit(".md")).alias("file_name"),
         render.manifest_line(F.col("rn")).alias("line"),
     )

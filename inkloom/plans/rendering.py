@@ -83,7 +83,7 @@ _SAFE = "CASE WHEN {c} = '' THEN 'untitled' ELSE coalesce({c}, 'untitled') END".
 )
 def export_manifest(t) -> DataFrame:
     """File name and catalogue line of each article in its platform."""
-    rows = batches.units(t("article_cache"), "platform", ["row_id"], above=1 << 30, size=1)
+    rows = batches.numbered(t("article_cache").select("row_id", "platform", "title", "publish_time", "url"), ["row_id"], "rn", by=["platform"])
     name = F.concat(F.format_string("%02d", "rn"), F.lit("_"), text.safe_filename(F.col("title"), limit=45), F.lit(".md"))
     return rows.select("row_id", "rn", name.alias("file_name"), render.manifest_line(F.col("rn")).alias("line"))
 
@@ -189,6 +189,6 @@ def markdown_blocks(t) -> DataFrame:
 )
 def unit_documents(t) -> DataFrame:
     """Merged catalogues of each platform, 200 articles a document."""
-    rows = batches.units(t("article_cache"), "platform", ["row_id"], above=0, size=200)
+    rows = batches.units(t("article_cache").select("row_id", "platform", "title"), "platform", ["row_id"], above=0, size=200)
     rows = rows.select("platform", "part", "row_id", F.concat(F.col("row_id").cast("string"), F.lit(". "), F.coalesce("title", F.lit(""))).alias("section"))
     return render.unit_documents(rows, ["platform", "part"], "row_id", "section").select("platform", "part", "n_articles", F.md5("document").alias("document_md5"))
