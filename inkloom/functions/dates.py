@@ -59,3 +59,11 @@ def show_epoch(text: Column, zone_hours: int = 8) -> Column:
     t = F.pmod(local, F.lit(86400))
     clock = F.format_string("%02d:%02d:%02d", F.floor(t / 3600).cast("int"), F.floor(t % 3600 / 60).cast("int"), (t % 60).cast("int"))
     return F.when(sec.isNull(), F.lit("")).otherwise(F.concat_ws(" ", day, clock))
+
+
+def show_datetime(text: Column, zone_hours: int = 8) -> Column:
+    """ISO times with 'T' and epoch seconds as ``yyyy-MM-dd HH:mm:ss``; others as they are."""
+    s = trim_ws(text)
+    iso = F.regexp_extract(s, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})", 1)
+    clock = F.regexp_extract(s, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})", 2)
+    return F.when(iso != "", F.concat_ws(" ", iso, clock)).when(s.rlike("^[0-9]{10}$"), show_epoch(s, zone_hours)).otherwise(s)

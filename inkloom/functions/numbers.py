@@ -27,3 +27,11 @@ def parse_votes(label: Column) -> Column:
     number = F.regexp_extract(label, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("decimal(20,4)")
     value = F.round(number * F.when(label.contains("万"), 10000).otherwise(1), 0).cast("long")
     return F.when(label.isNotNull(), F.coalesce(value, F.lit(0).cast("long")))
+
+
+def declared_count(tab: Column) -> Column:
+    """Trailing count of a tab label ('文章 1.2万'); NULL without a number or with none before the point."""
+    number = F.regexp_extract(tab, r"([0-9][0-9,]*(?:\.[0-9]+)?)[ ]*([万kK]?)$", 1)
+    unit = F.lower(F.regexp_extract(tab, r"([0-9][0-9,]*(?:\.[0-9]+)?)[ ]*([万kK]?)$", 2))
+    value = F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(20,4)")
+    return F.when(value >= 1, F.floor(value * F.when(unit == "万", 10000).when(unit == "k", 1000).otherwise(1)).cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as html_text
 import json
 import re
 from collections.abc import Iterator
@@ -114,3 +115,53 @@ def json_after(df: DataFrame, *, id_col: str, text_col: str, marker: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
 
     return slim.mapInArrow(find, schema).withColumnRenamed("__id", id_col)
+
+
+def engagement(script: Column) -> Column:
+    """Counters and originality of a page script as a struct; blank counters are 0."""
+    names = ("read_num", "like_count", "old_like_count", "share_count", "comment_count")
+    return F.struct(*[script_number(script, n).alias(n) for n in names], (script_number(script, "copyright_stat") == 1).alias("is_original"))
+
+
+def strip_layout(html: Column) -> Column:
+    """No inline styles that take elements out of the flow."""
+    return F.regexp_replace(html, r"(?i)(?:position|float|z-index|transform)\s*:[^;\"']*;?", "")
+
+
+def is_truncated(html: Column) -> Column:
+    """Whether a text ends in a link to its full version."""
+    return html.rlike(r"<a[^>]*>[^<]{0,4}(?:全文|展开|Read more|Continue reading)[^<]{0,4}</a>\s*(?:</[a-z]+>\s*)*\z")
+
+
+def replace_variants(html: Column, url: Column, to: Column) -> Column:
+    """A URL replaced as written and with its '&' escaped."""
+    return F.replace(F.replace(html, F.replace(url, F.lit("&"), F.lit("&amp;")), to), url, to)
+
+
+def sections_html(sections: Column) -> Column:
+    """Typed sections (kind, value) as HTML."""
+
+    def one(s: Column) -> Column:
+        return F.when(s["kind"] == "image", F.concat(F.lit('<img src="'), s["value"], F.lit('">'))).when(s["kind"] == "heading", F.concat(F.lit("<h2>"), s["value"], F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), s["value"], F.lit("</p>")))
+
+    return F.array_join(F.transform(sections, one), "")
+
+
+def unescaped(text: str | None) -> str | None:
+    r"""Script escapes resolved: ``\xHH``, ``\n``, ``\r``, ``\t``, then character references."""
+    if text is None:
+        return None
+    text = re.sub(r"\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), text)
+    return html_text.unescape(text.replace("\\n", "\n").replace("\\r", "\r").replace("\\t", "\t")).strip()
+
+
+def decode_escapes(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """``(id, decoded)``: texts of scripts without their escapes."""
+    slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
+    schema = T.StructType([slim.schema["__id"], T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unescaped(t) for t in batch.column(1).to_pylist()], pa.string())], names=schema.names)
+
+    return slim.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
