@@ -43,6 +43,15 @@ def test_lines_are_removed_by_position(spark):
     assert lines.remove_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).columns == df.columns
 
 
+def test_many_excess_lines_take_the_shuffle(spark, monkeypatch):
+    df = repeated(spark)
+    excess = lines.excess_lines(df, **ARGS)
+    small = sorted((r["id"], r["text"]) for r in lines.remove_excess_lines(df, excess, **ARGS).collect())
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    assert sorted((r["id"], r["text"]) for r in lines.remove_excess_lines(df, excess, **ARGS).collect()) == small
+    assert lines.find_excess_lines(df, excess, **ARGS).count() == 120
+
+
 def test_line_in_every_source_still_stands_out(spark):
     df = docs(spark, [(100 * s + i, f"Nur {chr(97 + i)}{chr(97 + s)}\nGemeinsame Zeile", f"s{s}") for s in range(4) for i in range(25)])
     assert lines.find_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).count() == 100
