@@ -197,3 +197,10 @@ def table_cells(line: Column) -> Column:
 def distinct_words(text: Column) -> Column:
     """Words in first-seen order, each once."""
     return F.array_join(F.array_distinct(F.split(squeeze(text), " ")), " ")
+
+
+def prefix_author(title: Column, author: Column, placeholders: tuple[str, ...]) -> Column:
+    """``[author]title``, once; placeholder and missing authors add nothing."""
+    mark = F.concat(F.lit("["), author, F.lit("]"))
+    wanted = author.isNotNull() & ~author.isin(*placeholders) & ~F.startswith(title, mark)
+    return F.when(wanted, F.concat(mark, title)).otherwise(title)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions import dates, numbers, pagemeta, rules, text
+from inkloom.operators import votes
 from inkloom.plans.catalogue import Catalogue, sql_squeeze, sql_trim
 
 C = Catalogue()
@@ -177,3 +178,10 @@ def images_of_articles(t) -> DataFrame:
     md = F.regexp_extract_all(F.coalesce("content_markdown", F.lit("")), F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(1))
     page = F.regexp_extract_all(F.coalesce("content_html", F.lit("")), F.lit('<img[^>]+src="([^"]+)"'), F.lit(1))
     return t("article_cache").select("row_id", F.array_join(F.array_distinct(F.concat(md, page)), " ").alias("images"))
+
+
+@add("SELECT row_id, CASE WHEN author IS NOT NULL AND author NOT IN ('互联网博主', '微信公众号', '未知', '', '未知博主', 'Blogger') AND NOT starts_with(title, '[' || author || ']') THEN '[' || author || ']' || title ELSE title END AS title FROM article_cache WHERE title IS NOT NULL")
+def author_prefixes(t) -> DataFrame:
+    """Titles marked with their author, once."""
+    once = text.prefix_author(F.col("title"), F.col("author"), votes.PLACEHOLDER_AUTHORS)
+    return t("article_cache").filter("title is not null").select("row_id", text.prefix_author(once, F.col("author"), votes.PLACEHOLDER_AUTHORS).alias("title"))

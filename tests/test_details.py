@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from inkloom.functions import numbers, pagemeta, rules
 from inkloom.plans import render
+from inkloom.sources import feeds
 from inkloom.streaming import progress
 
 
@@ -53,3 +54,13 @@ def test_windows_and_sessions(spark):
     assert sorted((r["k"], r["n"], r["total"]) for r in w.collect()) == [(1, 1, 4.0), (1, 2, 3.0), (2, 1, 8.0)]
     s = progress.sessions(df, "at", "1 hour", "1 hour", "k")
     assert sorted((r["k"], r["n"]) for r in s.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_feeds_state_and_listing(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text('<feed><entry><title>T &amp; U</title><link href="u1"/><updated>2024</updated></entry><entry><title>V</title><id>u2</id></entry></feed>')
+    assert [tuple(r) for r in feeds.read_atom(spark, str(tmp_path / "feed.xml")).orderBy("link").collect()] == [("T & U", "u1", "2024"), ("V", "u2", None)]
+    (tmp_path / "state.json").write_text('{\n "page": 3,\n "done": ["a", "b"]\n}')
+    assert feeds.read_state(spark, str(tmp_path / "state.json"), "page int, done array<string>").head().asDict() == {"page": 3, "done": ["a", "b"]}
+    (tmp_path / ".hidden").write_text("x")
+    (tmp_path / "B.txt").write_text("xy")
+    assert [(r["name"], r["length"]) for r in feeds.listing(spark, str(tmp_path)).collect() if r["name"] in ("B.txt", ".hidden")] == [("B.txt", 2)]
