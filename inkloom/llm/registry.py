@@ -143,7 +143,21 @@ sizes AS (SELECT platform, count(*) AS n_rows FROM article_cache GROUP BY ALL),
 excess AS (SELECT platform, k FROM shown JOIN sizes USING (platform) WHERE n >= 10 AND n >= 0.02 * n_rows)
 """
 
+_UNITS = r"""
+WITH big AS (SELECT row_id, replace(content_markdown, chr(13) || chr(10), chr(10)) AS t FROM article_cache WHERE length(content_markdown) > 3000),
+l AS (SELECT row_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM big),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank FROM l),
+g AS (SELECT *, sum(CAST(blank AS INTEGER)) OVER (PARTITION BY row_id ORDER BY i) AS grp FROM b),
+par AS (SELECT row_id, max(n) AS n FROM (SELECT row_id, sum(length(line)) + count(*) - 1 AS n FROM g WHERE NOT blank GROUP BY row_id, grp) GROUP BY row_id),
+lin AS (SELECT row_id, max(length(line)) AS n FROM l GROUP BY row_id),
+sen AS (SELECT row_id, max(length(trim(s, ' ' || chr(9) || chr(13)))) AS n FROM (SELECT row_id,
+  unnest(string_split(regexp_replace(regexp_replace(line, '([。！？])', '\1' || chr(1), 'g'), '([.!?])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM l) GROUP BY row_id),
+wor AS (SELECT row_id, max(length(w)) AS n FROM (SELECT row_id, unnest(regexp_split_to_array(t, '[ \t\r\n]+')) AS w FROM big) GROUP BY row_id)
+SELECT big.row_id, CASE WHEN coalesce(par.n, 0) <= 3000 THEN 'paragraph' WHEN lin.n <= 3000 THEN 'line' WHEN sen.n <= 3000 THEN 'sentence' WHEN wor.n <= 3000 THEN 'word' ELSE 'none' END AS boundary
+FROM big LEFT JOIN par USING (row_id) JOIN lin USING (row_id) JOIN sen USING (row_id) JOIN wor USING (row_id)"""
+
 SQL: dict[str, str] = {
+    "p5_found": _UNITS,
     "p4_found": _SAME_LINES + "SELECT row_id, CAST(line_no AS BIGINT) AS line_no FROM keyed SEMI JOIN excess USING (platform, k)",
     "p4_cleaned": _SAME_LINES
     + """, kept AS (SELECT row_id, string_agg(line, chr(10) ORDER BY line_no) AS md FROM keyed ANTI JOIN excess USING (platform, k) GROUP BY ALL)
