@@ -156,7 +156,15 @@ wor AS (SELECT row_id, max(length(w)) AS n FROM (SELECT row_id, unnest(regexp_sp
 SELECT big.row_id, CASE WHEN coalesce(par.n, 0) <= 3000 THEN 'paragraph' WHEN lin.n <= 3000 THEN 'line' WHEN sen.n <= 3000 THEN 'sentence' WHEN wor.n <= 3000 THEN 'word' ELSE 'none' END AS boundary
 FROM big LEFT JOIN par USING (row_id) JOIN lin USING (row_id) JOIN sen USING (row_id) JOIN wor USING (row_id)"""
 
+_SIMILAR = r"""
+WITH d AS (SELECT row_id, regexp_replace(lower(content_markdown), '[ \t\r\n]+', '', 'g') AS t FROM article_cache),
+s AS (SELECT DISTINCT row_id, substr(t, i, 5) AS g FROM (SELECT row_id, t, unnest(range(1, length(t) - 3)) AS i FROM d WHERE length(t) >= 5)),
+n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id),
+c AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT row_a, row_b FROM c JOIN n x ON x.row_id = row_a JOIN n y ON y.row_id = row_b WHERE k / (x.n + y.n - k) >= 0.7"""
+
 SQL: dict[str, str] = {
+    "p7_found": _SIMILAR,
     "p5_found": _UNITS,
     "p4_found": _SAME_LINES + "SELECT row_id, CAST(line_no AS BIGINT) AS line_no FROM keyed SEMI JOIN excess USING (platform, k)",
     "p4_cleaned": _SAME_LINES
