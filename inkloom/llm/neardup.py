@@ -30,11 +30,11 @@ DF_BITS = 18
 #: Power of the inverse document frequency in a shingle's weight: phrases many texts share hardly count.
 IDF_POWER = 2.0
 #: Entries of the tables of random draws, one set for each sample.
-TABLE_BITS = 16
+TABLE_BITS = 15
 #: Texts in a bucket from which its pairs are made by several tasks.
 BLOCK = 200
 #: Texts handled at a time in Python.
-CHUNK = 2000
+CHUNK = 1500
 #: A sample's value is looked for up to exp(SLACK) times its expected size before a text is evaluated in full.
 SLACK = 1.8
 
@@ -114,14 +114,15 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
 
 
 @cache
-def _tables(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random draws (r, log c, beta) of each sample and table entry."""
+def _tables(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Random draws (r, log c, beta) of each sample and table entry, and the bound log c - r."""
     rng = np.random.default_rng(seed)
     shape = (samples, 1 << TABLE_BITS)
-    r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-    log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-    beta = rng.random(shape).astype(np.float32)
-    return r, log_c, beta
+    # a gamma(2, 1) draw is the sum of two exponential ones; in single precision throughout
+    r = rng.standard_exponential(shape, dtype=np.float32) + rng.standard_exponential(shape, dtype=np.float32)
+    log_c = np.log(rng.standard_exponential(shape, dtype=np.float32) + rng.standard_exponential(shape, dtype=np.float32))
+    beta = rng.random(shape, dtype=np.float32)
+    return r, log_c, beta, log_c - r
 
 
 def weighted_samples(doc: np.ndarray, key: np.ndarray, log_w: np.ndarray, n: int, samples: int, seed: int = 7) -> np.ndarray:
@@ -135,8 +136,7 @@ def weighted_samples(doc: np.ndarray, key: np.ndarray, log_w: np.ndarray, n: int
     text without a winner below its limit is evaluated in full.  The shingles
     (``doc``, ``key``, ``log_w``) are ordered by ``key``.
     """
-    r_all, c_all, b_all = _tables(samples, seed)
-    bound_all = c_all - r_all
+    r_all, c_all, b_all, bound_all = _tables(samples, seed)
     out = np.zeros((n, samples), dtype=np.uint64)
     if not len(doc):
         return out
@@ -161,7 +161,7 @@ def weighted_samples(doc: np.ndarray, key: np.ndarray, log_w: np.ndarray, n: int
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         for j in range(min(4, samples - k0)):
             k = k0 + j
-            index = ((mixed >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.intp)
+            index = ((mixed >> np.uint64(16 * j)) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.intp)
 
             def least(rows: np.ndarray, i: np.ndarray, best: np.ndarray, ident: np.ndarray) -> None:
                 r, w = r_all[k].take(i), lw[rows]
