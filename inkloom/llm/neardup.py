@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.llm.batching import steps
 from inkloom.session import written
 
 #: Characters of a shingle.
@@ -88,7 +89,8 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
         for batch in batches:
-            for part in _chunks(batch.column(0).to_pylist()):
+            for step in steps(batch, [0], CHUNK):
+                part = step.column(0).to_pylist()
                 n += len(part)
                 at, key = shingle_hashes(part)
                 _, distinct, _ = _distinct(at, key, len(part))
@@ -278,8 +280,7 @@ class NearDuplicates:
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(at, CHUNK)
+                for part in steps(batch, [2], CHUNK):
                     keys = band_keys(part.column(2).to_pylist(), shared.value, bands, rows).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "same", "keys"])

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.llm.batching import steps
+
 #: Frequent function words by which running text is told from word lists.
 COMMON_WORDS = (
     "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she he her would make like him into time has look more go no way could my than been who its now did get come may "
@@ -47,6 +49,8 @@ STATS = [
 ]
 #: Share of distinct n-grams below which a text repeats itself.
 REPEATED = 0.3
+#: Texts handled at a time.
+STEP_ROWS = 4000
 #: Characters over which distinct n-grams are counted.
 STRETCH = 1000
 #: Length from which one line without any sentence end is no entry of a list.
@@ -230,9 +234,7 @@ def quality_statistics(docs: DataFrame, *, id_col: str, text_col: str) -> DataFr
     schema = _schema(slim.schema["__id"].dataType)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in steps(whole, [1], STEP_ROWS)):
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             blank = np.asarray(pc.utf8_length(pc.utf8_trim_whitespace(texts))) == 0
             s = text_statistics(texts)

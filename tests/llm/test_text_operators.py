@@ -273,3 +273,13 @@ def test_statistics_match_plain_python():
     assert s["n_lines"].tolist() == [1, 3, 1, 0]  # lines with text
     grams = [len({t[i : i + 4] for i in range(len(t) - 3)}) / max(len(t) - 3, 1) for t in texts[:3]]
     assert np.allclose(s["distinct_gram_share"][:3], grams)
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    from inkloom.llm.batching import steps
+
+    texts = ["a" * 10, None, "b" * 95, "c" * 300, "d", "e", "f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "t"])
+    parts = [s.column(1).to_pylist() for s in steps(batch, [1], rows=2, size=100)]
+    assert [t for p in parts for t in p] == texts and [len(p) for p in parts] == [2, 1, 1, 2, 1]
+    assert list(steps(batch.slice(0, 0), [1], 5)) == []
