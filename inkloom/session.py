@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: what broadcasts and caches hold is imported there by name."""
+    context = spark.sparkContext
+    if getattr(context, "_inkloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.suffix == ".zip" or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="inkloom-")) / "inkloom_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, Path("inkloom") / source.relative_to(package))
+    context.addPyFile(str(path))
+    context._inkloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, one Parquet file or folder per table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
