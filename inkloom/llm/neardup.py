@@ -1,10 +1,13 @@
 """Near-duplicate texts by improved consistent weighted sampling.
 
-Texts become sets of character shingles weighted by TF-IDF.  Document
-frequencies are gathered in a hashed histogram of fixed size over all texts.
-Each text is sampled K times by improved consistent weighted sampling; samples
-are banded, texts that share a band are compared by their exact weighted and
-plain Jaccard similarity.  Equal texts are one representative from the start.
+Texts become sets of character shingles.  Each text is sampled K times by
+improved consistent weighted sampling; samples are banded, texts that share a
+band are compared by their exact plain and IDF-weighted Jaccard similarity.
+The result is defined by the plain one, so all shingles are sampled with equal
+weight: whatever share of the texts a group of near-copies holds, its shared
+shingles count like others.  Document frequencies, for the weighted
+similarity, are gathered in a hashed histogram of fixed size over all texts.
+Equal texts are one representative from the start.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 #: Buckets of the document-frequency histogram (2**DF_BITS), whatever the size of the corpus.
 DF_BITS = 18
-#: Power of the inverse document frequency in a shingle's weight: phrases many texts share hardly count.
+#: Power of the inverse document frequency in the weighted similarity: phrases many texts share hardly count.
 IDF_POWER = 2.0
 #: Entries of the tables of random draws, one set for each sample.
 TABLE_BITS = 15
@@ -197,12 +200,11 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return (IDF_POWER * np.log(np.log1p(n / np.maximum(df, 1.0)))).astype(np.float32)
 
 
-def band_keys(texts: list[str], log_idf: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """``len(texts) x bands`` keys; texts shorter than a shingle have none that is used."""
+def band_keys(texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """``len(texts) x bands`` keys and the distinct shingles of each text; texts shorter than a shingle have no key that is used."""
     at, key = shingle_hashes(texts)
-    doc, distinct, tf = _distinct(at, key, len(texts))
-    log_w = log_idf[(distinct & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)] + np.log1p(np.log(tf)).astype(np.float32)
-    samples = weighted_samples(doc, distinct, log_w, len(texts), bands * rows)
+    doc, distinct, _ = _distinct(at, key, len(texts))
+    samples = weighted_samples(doc, distinct, np.zeros(len(doc), dtype=np.float32), len(texts), bands * rows)
     keys = np.zeros((len(texts), bands), dtype=np.uint64)
     for b in range(bands):
         k = np.full(len(texts), np.uint64(b + 1), dtype=np.uint64)
@@ -210,7 +212,7 @@ def band_keys(texts: list[str], log_idf: np.ndarray, bands: int, rows: int) -> n
             k = (k ^ samples[:, b * rows + s]) * _MIX
             k ^= k >> np.uint64(31)
         keys[:, b] = k
-    return keys
+    return keys, np.bincount(doc, minlength=len(texts))
 
 
 def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,20 +221,27 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.length("text") >= SHINGLE)
 
 
-def _bucket_pairs(keys: DataFrame) -> DataFrame:
+def _bucket_pairs(keys: DataFrame, alike: float = 0.0) -> DataFrame:
     """Distinct pairs ``a < b`` of ids that share a key.
 
     A key of many ids is cut into blocks of BLOCK ids; pairs of blocks are
     separate join keys, so no task and no key has more than BLOCK squared.
+    With ``alike``, pairs whose ``size`` differs by more than that factor are
+    left out: their sets cannot have a Jaccard similarity of ``alike``.
     """
+    size = ["size"] if alike else []
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = keys.join(sizes, "key")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks.cast("long")).cast("int")
-    cut = shared.select("key", "id", own.alias("own"), blocks.alias("blocks"))
-    left = cut.select("key", F.col("id").alias("a"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    right = cut.select("key", F.col("id").alias("b"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    return left.join(right, ["key", "i", "j"]).filter("a < b").select("a", "b").distinct()
+    cut = shared.select("key", "id", *size, own.alias("own"), blocks.alias("blocks"))
+    left = cut.select("key", F.col("id").alias("a"), *[F.col(c).alias("size_a") for c in size], F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    right = cut.select("key", F.col("id").alias("b"), *[F.col(c).alias("size_b") for c in size], F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    pairs = left.join(right, ["key", "i", "j"]).filter("a < b")
+    if alike:
+        # a little less than the factor, so that rounding leaves no pair out
+        pairs = pairs.filter(F.least("size_a", "size_b") >= F.lit(alike * (1 - 1e-6)) * F.greatest("size_a", "size_b"))
+    return pairs.select("a", "b").distinct()
 
 
 def _similarities(log_idf: np.ndarray):
@@ -275,24 +284,23 @@ class NearDuplicates:
         df, n = document_frequencies(texts, "text")
         log_idf = _idf(df, max(n, 1))
         id_type = texts.schema["id"].dataType
-        shared = docs.sparkSession.sparkContext.broadcast(log_idf)  # 2**DF_BITS floats: 1 MB
-        schema = T.StructType([T.StructField("id", id_type), T.StructField("same", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+        schema = T.StructType([T.StructField("id", id_type), T.StructField("same", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in steps(batch, [2], CHUNK):
-                    keys = band_keys(part.column(2).to_pylist(), shared.value, bands, rows).view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "same", "keys"])
+                    keys, size = band_keys(part.column(2).to_pylist(), bands, rows)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int32()), lists], names=schema.names)
 
         signed = written(texts.select("id", F.unhex(F.md5("text")).alias("same"), "text").mapInArrow(sign, schema), "near-signatures")
-        reps = signed.groupBy("same").agg(F.min(F.struct("id", "keys")).alias("s"), F.count(F.lit(1)).alias("n"))
-        reps = written(reps.select("same", F.col("s.id").alias("rep"), F.col("s.keys").alias("keys"), "n"), "near-representatives")
+        reps = signed.groupBy("same").agg(F.min(F.struct("id", "size", "keys")).alias("s"), F.count(F.lit(1)).alias("n"))
+        reps = written(reps.select("same", F.col("s.id").alias("rep"), F.col("s.size").alias("size"), F.col("s.keys").alias("keys"), "n"), "near-representatives")
         from inkloom.operators.skew import salted_lookup
 
         self.members = salted_lookup(signed.select("id", "same"), reps.select("same", "rep"), ["same"], reps.select("same", "n"), F.xxhash64("id"), how="inner").select("id", "rep")
-        keys = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-        pairs = written(_bucket_pairs(keys), "near-candidates")
+        keys = reps.select(F.col("rep").alias("id"), "size", F.explode("keys").alias("key"))
+        pairs = written(_bucket_pairs(keys, threshold), "near-candidates")
         self.candidates = pairs
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         needed = written(texts.join(wanted, "id", "left_semi"), "near-texts")

@@ -158,6 +158,21 @@ def test_hot_group_of_copies(spark):
     assert near.row_pairs().count() == 450 * 449 // 2 and near.candidates.count() == 0
 
 
+def test_near_copies_that_are_a_third_of_the_rows(spark):
+    rng = random.Random(8)
+    text = lambda: [rng.choice("abcdefghijklmnop") + "".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(80)]
+    base, rows = text(), [(i, " ".join(text()), None) for i in range(240)]
+    for i in range(240, 360):
+        words = list(base)
+        for at in rng.sample(range(80), 3):
+            words[at] = "".join(rng.choice("qrstuvwxyz") for _ in range(5))
+        rows.append((i, " ".join(words), None))
+    got = {(r["a"], r["b"]) for r in neardup.NearDuplicates(docs(spark, rows), id_col="id", text_col="text").row_pairs().collect()}
+    group = [(i, t.replace(" ", "")) for i, t, _ in rows[240:]]
+    truth = {(i, j) for i, a in group for j, b in group if i < j and jaccard(a, b) >= 0.7}
+    assert len(truth) > 6000 and got <= truth and len(got) >= 0.99 * len(truth)
+
+
 def test_samples_agree_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(1, 2**52, 400, dtype=np.uint64))
