@@ -28,9 +28,9 @@ from inkloom.session import written
 LABELLED_PAGES = 2500
 #: Most site names that are masked.
 MAX_SITES = 10_000
-#: Share of the pages from which a repeated block's frequency is kept; at most (blocks a page) / SHARE are.
+#: Share of the articles from which a repeated block's frequency is kept; at most (blocks a page) / SHARE are.
 SHARE = 0.0005
-#: Share of the pages from which a block of the labelled table that the extracted text holds is still no author's.
+#: Share of the articles from which a block of the labelled table that the extracted text holds is still no author's.
 REPEATED = 0.002
 #: Depth of the tree and least blocks of a leaf.
 DEPTH, LEAF = 9, 12
@@ -264,44 +264,55 @@ class DecisionTree:
             at[inner] = np.where(goes, self.left[node], self.right[node])
 
 
-def block_shares(docs: DataFrame, html_col: str, names: SiteNames) -> dict[int, float]:
-    """Share of all pages that show a block (or its frame), for those of at least SHARE of them.
+def article_keys(blocks: list[Block], title: str) -> tuple[int, int]:
+    """Two hashes by which copies of an article are known: of its title, and of its long blocks in any order.
 
-    Blocks are counted once a page and summed by task before the shuffle.
+    Too few long blocks may all be the site's: then all blocks count.  A page without title is known by its blocks.
     """
-    pages = docs.select(F.col(html_col).alias("h")).filter(F.trim("h") != "")
+    long_ = [b.text for b in blocks if len(b.text) > FRAME_CHARS]
+    body = _hash("\n".join(sorted(long_ if len(long_) >= 3 else [b.text for b in blocks])))
+    named = letters(title)
+    return _hash("title " + named) if named else body, body
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, int] = {0: 0}
+
+def block_shares(docs: DataFrame, html_col: str, title_col: str, names: SiteNames) -> dict[int, float]:
+    """Share of all articles that show a block (or its frame), for those of at least SHARE of them.
+
+    Copies of an article, under the same title or with the same long blocks,
+    are one article: their own paragraphs are not repeated.  A block counts by
+    the fewer of its different titles and different bodies.
+    """
+    pages = docs.select(F.col(html_col).alias("h"), F.coalesce(F.col(title_col), F.lit("")).alias("t")).filter(F.trim("h") != "")
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for page in batch.column(0).to_pylist():
-                sums[0] += 1
-                blocks = [b for b in parse_blocks(page) if b.link_chars < LINKED * len(b.text)]
-                shown = names.shown_on("\n".join(b.text for b in blocks))
-                for h in {k for pair in page_keys(blocks, shown, known) for k in pair if k}:
-                    sums[h] = sums.get(h, 0) + 1
-                if len(sums) > 500_000:
-                    yield _counts(sums)
-                    sums = {0: 0}
-        yield _counts(sums)
-
-    summed = written(pages.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "block-counts")
+            for part in steps(batch, [0], 300):
+                shown_keys, titles, bodies = [], [], []
+                for page, title in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    blocks = [b for b in parse_blocks(page) if b.link_chars < LINKED * len(b.text)]
+                    shown = names.shown_on("\n".join(b.text for b in blocks))
+                    hashes = {0} | {k for pair in page_keys(blocks, shown, known) for k in pair}  # 0 stands for the page itself
+                    named, body = article_keys(blocks, title)
+                    shown_keys += hashes
+                    titles += [named] * len(hashes)
+                    bodies += [body] * len(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (shown_keys, titles, bodies)], names=["h", "title", "body"])
+
+    shown = pages.mapInArrow(show, "h long, title long, body long")
+    counted = shown.groupBy("h").agg(F.least(F.count_distinct("title"), F.count_distinct("body")).alias("n"))
+    summed = written(counted, "block-counts")
     total = (summed.filter("h = 0").head() or (0, 0))[1]
     if not total:
         return {}
     return {r["h"]: r["n"] / total for r in summed.filter((F.col("n") >= max(2.0, SHARE * total)) & (F.col("h") != 0)).collect()}
 
 
-def _counts(sums: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["h", "n"])
-
-
 def labelled_table(sample: list[tuple[str, str, str]], table: BlockTable) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: features of the sample's blocks and whether each is main.
 
     A block is labelled main if the page's extracted text holds it and it is not
-    repeated over REPEATED of all pages (cells and code may be), or if it is
+    repeated over REPEATED of all articles (cells and code may be), or if it is
     the headline in the body.
     """
     xs, ys = [], []
@@ -336,7 +347,7 @@ def main_blocks(docs: DataFrame, sites: DataFrame, *, id_col: str, html_col: str
     some = docs.select(F.col(html_col).alias("h"), F.col(extracted_col).alias("m"), F.coalesce(F.col(title_col), F.lit("")).alias("t"))
     rows = [(r["h"], r["m"], r["t"]) for r in bounded_sample(some, "h", labelled_pages) if (r["h"] or "").strip() and (r["m"] or "").strip()]
     models = page_models([(h, m) for h, m, _ in rows])
-    table = BlockTable(models, block_shares(docs, html_col, names), names)
+    table = BlockTable(models, block_shares(docs, html_col, title_col, names), names)
     x, y = labelled_table(rows, table)
     table.known = {}
     tree = DecisionTree.fit(x, y) if len(y) else DecisionTree([-1], [0.0], [-1], [-1], [0.0])

@@ -144,6 +144,22 @@ def test_main_blocks_held_out(site, spark):
     assert boilerplate.main_blocks(df.limit(0), sites, **PAGE).count() == 0
 
 
+def test_main_blocks_of_an_article_copied_to_a_third_of_the_pages(site, spark):
+    _, pages = site
+    page, md, title, body = article(900)
+    rows = [(i, p, m, t, "c", "c") for i, (p, m, t, _) in enumerate(pages)]
+    rows += [(400 + i, page, md, title, "c", "c") for i in range(20)]
+    rows += [(420 + i, page.replace("someone", f"someone{i}"), md, title, "c", "c") for i in range(20)]  # the same title
+    rows += [(440 + i, page.replace(title, f"{title} again {i}"), md, f"{title} again {i}", "c", "c") for i in range(20)]  # the same body
+    sites = spark.createDataFrame([("Some Site",)], "site_name string")
+    got: dict[int, list] = {}
+    for r in boilerplate.main_blocks(spark.createDataFrame(rows, SCHEMA), sites, **PAGE).orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append(r["block"])
+    assert all(got.get(400 + i) == [title, *body] for i in range(40))
+    assert all(got.get(440 + i) == [f"{title} again {i}", *body] for i in range(20))
+    assert sum(got.get(i) != [t, *b] for i, (_, _, t, b) in enumerate(pages)) <= 2
+
+
 def test_decision_tree_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 1, (4000, 5)).astype(np.float32)
