@@ -56,6 +56,25 @@ def test_lost_characters_are_marked(model):
     assert labelled(model, "The feature �flag� is off")
 
 
+@pytest.mark.parametrize("pair", ["utf8>gbk", "utf8>big5"])
+@pytest.mark.parametrize("text", ["Warum die Indexdatei hängt, ab von der Schalter für Funktionen", "Der Zähler und eine lange Reihe schlichter Worte ohne Zeichen, dann die Prüfung"])
+def test_garbled_letters_far_apart_are_found(model, pair, text):
+    bad = encoding.garble(text, pair)
+    assert bad != text and labelled(model, bad), bad
+
+
+def test_weak_letters_any_ascii_apart_add_up(model):
+    row = np.zeros(len(model.states), dtype=np.float32)
+    row[model.states.index("utf8>gbk")] = 6.5  # one is below the entry, two are above
+    weak = encoding.EncodingModel(model.states, {**model.odds, "眉": row, "盲": row}, model.clean)
+    assert not weak.spans(["- 眉 -"])[0] and len(weak.spans(["- 眉 - " + "x" * 500 + " - 盲 -"])[0]) == 2
+
+
+@pytest.mark.parametrize("text", ["用Java和Python写脚本", "Java和Python", "K线 and T恤", "L’été à Noël, " + "plain words only, " * 20 + "où l’élève était", ("<a href='/n'>À propos</a>" + "plain words only, " * 9) * 6])
+def test_scripts_side_by_side_are_no_case(model, text):
+    assert labelled(model, text) == []
+
+
 def test_encoding_of_a_table(spark):
     rows = [(1, None, None), (2, "", ""), (3, CLEAN[0], CLEAN[2]), (4, encoding.garble(CLEAN[0], "utf8>cp1252"), "x" * 100_000), (4, encoding.garble(CLEAN[0], "utf8>cp1252"), "ok"), (5, "ok", "<p>" + "".join(f"&#{ord(c)};" for c in encoding.garble("数据库的连接", "utf8>latin1")) + "</p>")]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "id long, title string, page string, field string, pairs string")
