@@ -141,6 +141,17 @@ def test_residue_pages(site):
     assert residue.find_residue_pages(df.limit(0), **PAGE).count() == 0
 
 
+def test_sample_is_whole_beside_null_and_repeated_pages(spark):
+    pages = [(f"page {i}", "text") for i in range(2000)]
+    rows = [(None, "text")] * 1500 + [("", "text")] * 200 + [("no text", " ")] * 200 + [("copied", "text")] * 1500 + pages
+    df = spark.createDataFrame(rows, "h string, m string")
+    got = residue._training_sample(df, "h", "m", 100)
+    assert len(got) == len(set(got)) == 100 and set(got) <= {("copied", "text"), *pages}
+    alone = spark.createDataFrame([("copied", "text"), *pages], "h string, m string")
+    assert residue._training_sample(alone, "h", "m", 100) == got
+    assert residue._training_sample(df.filter("h is null"), "h", "m", 100) == []
+
+
 def test_residue_notes(spark):
     notes = [
         (1, None, False), (2, " ", False), (3, "read timeout after 73 s", False), (4, "连接被重置，已重试 90 次", False), (5, "parse: 404 页面不存在", True), (6, "{{ body }}", True), (7, "page said: Please enable JavaScript to view this page.", True),
