@@ -57,6 +57,16 @@ def test_line_in_every_source_still_stands_out(spark):
     assert lines.find_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).count() == 100
 
 
+def test_line_at_the_limits_passes_without_significance(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    rows = [(i, f"Eigen {word(i)}\nFloskel {word(i % 60)}" + ("\nGemeinsame Zeile" if i < 10 else ""), "s1") for i in range(500)]
+    rows += [(1000 + i, f"Anders {word(i)}" + (f"\nFloskel {word(i // 10)}" if i < 600 else "") + ("\nGemeinsame Zeile" if i < 38 else ""), "s2") for i in range(2000)]
+    df = docs(spark, rows)
+    excess = lines.excess_lines(df, **ARGS)
+    assert [(r["n_rows"], r["significant"]) for r in excess.collect()] == [(10, False)]
+    assert {r["id"] for r in lines.find_excess_lines(df, excess, **ARGS).collect()} == set(range(10))
+
+
 def test_lines_of_an_empty_table(spark):
     df = docs(spark, [])
     assert lines.find_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).count() == 0
