@@ -52,6 +52,15 @@ def test_many_excess_lines_take_the_shuffle(spark, monkeypatch):
     assert lines.find_excess_lines(df, excess, **ARGS).count() == 120
 
 
+def test_repeated_ids_keep_their_own_lines_in_the_shuffle(spark, monkeypatch):
+    df = repeated(spark)
+    df = df.union(df.limit(3)).union(docs(spark, [(0, "Ein anderer Text\nTeilen Sie", "s1"), (0, "Noch einer", "s2"), (None, "Ohne Nummer", "s1")]))
+    excess = lines.excess_lines(df, **ARGS)
+    small = sorted((str(r["id"]), str(r["text"])) for r in lines.remove_excess_lines(df, excess, **ARGS).collect())
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    assert sorted((str(r["id"]), str(r["text"])) for r in lines.remove_excess_lines(df, excess, **ARGS).collect()) == small
+
+
 def test_line_in_every_source_still_stands_out(spark):
     df = docs(spark, [(100 * s + i, f"Nur {chr(97 + i)}{chr(97 + s)}\nGemeinsame Zeile", f"s{s}") for s in range(4) for i in range(25)])
     assert lines.find_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).count() == 100
