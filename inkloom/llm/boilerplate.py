@@ -343,7 +343,10 @@ def main_blocks(docs: DataFrame, sites: DataFrame, *, id_col: str, html_col: str
     main blocks.  NULL and empty pages have none; repeated ids each give their
     blocks; other columns are ignored; an empty table gives no rows.
     """
-    names = SiteNames([r[0] for r in sites.select("site_name").distinct().limit(MAX_SITES).collect()])
+    known = [r[0] for r in sites.select("site_name").distinct().limit(MAX_SITES + 1).collect()]
+    if len(known) > MAX_SITES:
+        raise ValueError(f"at most {MAX_SITES} site names")
+    names = SiteNames(known)
     some = docs.select(F.col(html_col).alias("h"), F.col(extracted_col).alias("m"), F.coalesce(F.col(title_col), F.lit("")).alias("t"))
     rows = [(r["h"], r["m"], r["t"]) for r in bounded_sample(training_rows(some, "h", "m"), "h", labelled_pages)]
     models = page_models([(h, m) for h, m, _ in rows])

@@ -190,6 +190,12 @@ def test_main_blocks_of_an_article_copied_to_a_third_of_the_pages(site, spark):
     assert sum(got.get(i) != [t, *b] for i, (_, _, t, b) in enumerate(pages)) <= 2
 
 
+def test_too_many_site_names_are_an_error(site, spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "MAX_SITES", 2)
+    with pytest.raises(ValueError, match="at most 2 site names"):
+        boilerplate.main_blocks(site[0], spark.createDataFrame([("a",), ("b",), ("c",)], "site_name string"), **PAGE)
+
+
 def test_decision_tree_learns_a_rule():
     rng = np.random.default_rng(2)
     x = rng.uniform(0, 1, (4000, 5)).astype(np.float32)
