@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from inkloom.llm.batching import steps
 from inkloom.llm.blocks import Block, parse_blocks
 from inkloom.llm.ngrams import NgramModels
-from inkloom.llm.residue import LINKED, bounded_sample, labelled_blocks, letters, page_models, residue_pages, training_rows
+from inkloom.llm.residue import LINKED, blank_sample, bounded_sample, labelled_blocks, letters, page_models, residue_pages, training_rows
 from inkloom.session import written
 
 #: Pages from which the labelled table of blocks is made, at most.
@@ -349,7 +349,7 @@ def main_blocks(docs: DataFrame, sites: DataFrame, *, id_col: str, html_col: str
     names = SiteNames(known)
     some = docs.select(F.col(html_col).alias("h"), F.col(extracted_col).alias("m"), F.coalesce(F.col(title_col), F.lit("")).alias("t"))
     rows = [(r["h"], r["m"], r["t"]) for r in bounded_sample(training_rows(some, "h", "m"), "h", labelled_pages)]
-    models = page_models([(h, m) for h, m, _ in rows])
+    models = page_models([(h, m) for h, m, _ in rows], blank_sample(docs, html_col, extracted_col, labelled_pages))
     table = BlockTable(models, block_shares(docs, html_col, title_col, names), names)
     x, y = labelled_table(rows, table)
     table.known = {}

@@ -8,6 +8,8 @@ import numpy as np
 SIZES, BITS, ALPHA = (2, 4), 17, 0.05
 #: All classes are scaled to this many n-grams, so that a small training text is no vaguer than a large one.
 MASS = 50_000.0
+#: No n-gram counts more than this share of what the counts would be if none were above the MANY-th largest.
+TOP, MANY = 0.02, 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -22,29 +24,31 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def _buckets(codes: np.ndarray, size: int) -> np.ndarray:
+def _buckets(codes: np.ndarray, size: int, bits: int = BITS) -> np.ndarray:
     """Bucket of the n-gram that begins at each character (shorter at the end)."""
     key = np.full(len(codes), np.uint64(size), dtype=np.uint64)
     padded = np.concatenate([codes, np.zeros(size, dtype=np.uint64)])
     for i in range(size):
         key = (key ^ padded[i : len(codes) + i]) * _MIX
         key ^= key >> np.uint64(31)
-    return (key >> np.uint64(64 - BITS)).astype(np.int64)
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class NgramModels:
     """Log probabilities of hashed character n-grams in each class."""
 
-    def __init__(self, classes: dict[str, list[str]]):
-        self.names = list(classes)
+    def __init__(self, classes: dict[str, list[str]], bits: int = BITS):
+        self.names, self.bits = list(classes), bits
         self.logs = []
         for size in SIZES:
             rows = []
             for texts in classes.values():
                 lower = [t.lower() for t in texts]
-                counts = np.bincount(_buckets(_codes(lower)[0], size), minlength=1 << BITS).astype(np.float64) if lower else np.zeros(1 << BITS)
+                counts = np.bincount(_buckets(_codes(lower)[0], size, bits), minlength=1 << bits).astype(np.float64) if lower else np.zeros(1 << bits)
+                # one endless run of a character is not the whole class
+                counts = np.minimum(counts, max(TOP * np.minimum(counts, np.sort(counts)[-MANY]).sum(), 1.0))
                 counts *= MASS / max(counts.sum(), 1.0)
-                rows.append(np.log((counts + ALPHA) / (MASS + ALPHA * (1 << BITS))))
+                rows.append(np.log((counts + ALPHA) / (MASS + ALPHA * (1 << bits))))
             self.logs.append(np.array(rows, dtype=np.float32))
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +56,7 @@ class NgramModels:
         codes, starts = _codes([t.lower() for t in texts])
         total = np.zeros((len(self.names), len(codes)), dtype=np.float32)
         for size, logs in zip(SIZES, self.logs):
-            total += logs[:, _buckets(codes, size)]
+            total += logs[:, _buckets(codes, size, self.bits)]
         return total / len(SIZES), starts
 
     def text_scores(self, texts: list[str], scored: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -62,3 +66,17 @@ class NgramModels:
         total, starts = scored or self.scores(texts)
         sums = np.add.reduceat(total, starts, axis=1)
         return (sums / np.maximum(np.diff(np.append(starts, total.shape[1])), 1)).T
+
+    def known_shares(self, texts: list[str], name: str) -> np.ndarray:
+        """Share of each text's characters at which a class knows the longest n-gram."""
+        if not texts:
+            return np.zeros(0)
+        codes, starts = _codes([t.lower() for t in texts])
+        row = self.logs[-1][self.names.index(name)]
+        known = row[_buckets(codes, SIZES[-1], self.bits)] > row.min() + 0.5
+        # the last characters of a text begin n-grams that reach into the next one
+        last = np.append(starts[1:], len(codes)) - 1
+        ok = np.ones(len(codes), dtype=bool)
+        for i in range(SIZES[-1] - 1):
+            ok[np.maximum(last - i, starts)] = False
+        return np.add.reduceat(known & ok, starts) / np.maximum(np.add.reduceat(ok, starts), 1)

@@ -69,8 +69,9 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and items that hold residue instead of content."""
-    pages = residue.find_residue_pages(table(spark, sf_dir, "article_cache"), id_col="row_id", html_col="content_html", extracted_col="content_markdown", title_col="title")
-    notes = residue.find_residue_notes(table(spark, sf_dir, "article_item"), id_col="row_id", note_col="error_reason")
+    cache, of_page = table(spark, sf_dir, "article_cache"), {"html_col": "content_html", "extracted_col": "content_markdown"}
+    pages = residue.find_residue_pages(cache, id_col="row_id", title_col="title", **of_page)
+    notes = residue.find_residue_notes(table(spark, sf_dir, "article_item"), cache, id_col="row_id", note_col="error_reason", **of_page)
     return pages.filter("is_residue").select(F.lit("article_cache").alias("tbl"), "row_id").unionByName(notes.select(F.lit("article_item").alias("tbl"), "row_id"))
 
 

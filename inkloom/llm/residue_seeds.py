@@ -1,68 +1,58 @@
-"""Training texts of the residue classes: notices and unfilled templates, written for this library."""
+"""Independent training sentences of the residue classes, in the wording of this library.
+
+They only keep the models from being blind where a labelled sample holds no
+residue; what a collection shows itself is learnt from that sample.
+"""
 
 from __future__ import annotations
 
 import random
 
+#: What a site says in place of an article.
 NOTICES = """
-404 页面不存在|页面找不到了|您访问的内容不存在|抱歉，您要找的页面不见了|内容不存在或已被删除|该内容已下线|文章已被作者删除|该文章已被发布者删除|此链接已失效|链接已过期|此内容因违规无法查看|内容正在审核中，暂时无法显示|该帖子正在审核|系统繁忙，请稍后再试|服务器开小差了，请稍后重试|服务器内部错误，错误码 500|网关超时|网关错误 502|系统维护中，预计稍后恢复|网站维护中|发生未知错误，请联系管理员|发生未知异常，请联系客服|参数错误，请返回上一页|参数错误，返回首页|页面将在 5 秒后自动跳转|秒后自动返回上一层|返回首页|返回上一页|点击返回
-访问过于频繁，请完成验证后继续访问|请完成安全验证|请输入验证码|请求被拦截，疑似自动访问|您的访问存在异常，请验证身份|当前环境异常，完成验证后即可继续访问|请确认您不是机器人|拖动滑块完成验证|没有权限查看该页面|没有权限查看此内容|拒绝访问|请登录后查看
-请启用脚本后再访问本页|本页面需要脚本支持才能显示|您的浏览器不支持脚本，请开启 JavaScript|您的浏览器关闭了 JavaScript，部分功能不可用|请打开浏览器的脚本功能|加载中，请稍候|正在加载|页面加载中|页面打开中 32%|正在跳转，请稍候|正在打开应用|正在为您跳转|数据加载中|请稍等片刻|网络不给力，点击重试|加载失败，点击重试
-404 Not Found|404 - page not found|Error 404|Page not found|The page you requested could not be found|Sorry, this page does not exist|This page is gone for good|This page has moved|This post was removed by its owner|This post has been deleted|This article is no longer available|Content unavailable|The link has expired|This content is under review|Under moderation, check back later|Internal server error|500 Internal Server Error|Something went wrong, try again later|An unexpected error occurred|Service unavailable|Could not reach the data store|Database connection failed, please come back later|502 Bad Gateway|Gateway timeout|The site is down for maintenance|We are back in a few minutes|Bad request|Invalid parameter, go back|Access denied. Reference 6884|Forbidden|You do not have permission to view this page|Too many requests|Rate limit exceeded, please slow down|Back to home|Return to the home page|Go back
-Checking that you are human before going on|Verify that you are human|Please complete the security check|Are you a robot?|Unusual traffic from your network|Checking your browser before accessing the site|One more step: solve the captcha|Your request was blocked
-Please enable JavaScript to view this page.|This app needs scripts to run.|You need to enable JavaScript to run this app.|Scripts are switched off in your browser; turn them on and reload.|JavaScript is required|Your browser does not support scripts|Loading…|Loading, please wait|Please wait while the page loads|Redirecting…|You are being redirected|Opening the app|If you are not redirected, click here
-Seite nicht gefunden|404 Seite nicht gefunden|Diese Seite gibt es nicht mehr|Der Beitrag wurde vom Verfasser gelöscht|Dieser Beitrag wurde gelöscht|Dieser Beitrag ist nicht mehr verfügbar|Interner Serverfehler|Es ist ein Fehler aufgetreten|Bitte versuchen Sie es später erneut|Dienst nicht verfügbar|Wartungsarbeiten|Zugriff verweigert|Zu viele Anfragen|Bitte bestätigen Sie, dass Sie ein Mensch sind|Bitte aktivieren Sie JavaScript.|Diese Seite benötigt Skripte.|Ihr Browser unterstützt keine Skripte|Wird geladen…|Bitte warten|Sie werden weitergeleitet|Weiterleitung…|Zurück zur Startseite|Der Link ist abgelaufen|Wird geprüft, noch nicht sichtbar
-Page introuvable|Erreur 404|Cette page n’existe plus|L’article a été supprimé par son auteur|Cet article a été supprimé|Ce contenu n’est plus disponible|Erreur interne du serveur|Une erreur est survenue|Veuillez réessayer plus tard|Service indisponible|Site en maintenance|Accès refusé|Trop de requêtes|Vérification que vous êtes humain|Confirmez que vous n’êtes pas un robot|Veuillez activer JavaScript.|Cette page a besoin de scripts.|Votre navigateur bloque les scripts|Chargement…|Chargement en cours, veuillez patienter|Redirection en cours|Vous allez être redirigé|Retour à l’accueil|Le lien a expiré
-Página no encontrada|Error 404|Esta página ya no existe|La entrada fue eliminada por su autor|Este artículo fue eliminado|Este contenido ya no está disponible|Error interno del servidor|Se ha producido un error|Inténtelo más tarde|Servicio no disponible|Sitio en mantenimiento|Acceso denegado|Demasiadas solicitudes|Comprobando que usted es humano|Confirme que no es un robot|Active JavaScript para continuar.|Esta página necesita scripts.|Su navegador bloquea los scripts|Cargando…|Cargando, espere|Redirigiendo…|Será redirigido|Volver al inicio|El enlace ha caducado
+您要访问的页面已经不在了|没有找到您想看的文章|作者已经把这篇内容删掉了|因投诉暂不展示该内容|服务出现故障，请过一会儿再来|程序出错，我们正在抢修|网站升级中，稍后恢复服务|为了账号安全，请先拖动滑块|请证明您是真人用户|检测到异常流量，请输入图中字符|您无权浏览此栏目|需要打开浏览器脚本才能浏览|页面内容载入中，请耐心等候|马上为您转到新地址
+We looked everywhere but the requested page is missing|Nothing lives at this address any more|Its author took this article down|Hidden after a complaint about the content|Our server ran into a problem while handling the request|Sorry for the hiccup, our engineers are on it|Down for planned maintenance, back soon|Prove you are not a machine by solving this puzzle|Suspicious activity detected, complete the challenge|You lack the rights to see this section|Turn scripting on in your browser settings to read this site|Content is being loaded, hang on a moment|Taking you to the new address in a second
+Unter dieser Adresse liegt keine Seite|Der Autor hat den Artikel zurückgezogen|Beim Verarbeiten der Anfrage ging etwas schief|Wegen Wartung vorübergehend geschlossen|Lösen Sie das Rätsel, um fortzufahren|Schalten Sie Skripte in Ihrem Browser ein|Der Inhalt wird gerade aufgebaut, einen Augenblick|Wir leiten Sie zur neuen Adresse um
+Aucune page à cette adresse|L’auteur a retiré son texte|Un problème a empêché le traitement de la demande|Fermé pour entretien, revenez plus tard|Résolvez l’énigme pour continuer la visite|Autorisez les scripts dans votre navigateur|Le contenu arrive, patientez un moment|Nous vous emmenons vers la nouvelle adresse
+No hay ninguna página en esta dirección|El autor retiró su texto|Un fallo impidió atender la petición|Cerrado por mantenimiento, vuelva más tarde|Resuelva el acertijo para seguir|Permita los scripts en su navegador|El contenido está llegando, un momento|Le llevamos a la nueva dirección
 """
 
+#: What stands where an author has not written yet.
 PLACEHOLDERS = """
-此处填写正文内容|正文待补充……|这里是占位文字，上线前请替换|示例段落，示例段落，示例段落|在此输入标题|请在这里输入内容|标题占位|内容待更新|测试文章请忽略|测试测试测试，请忽略|测试测试测试 abc 123|测试 123|测试内容 abc|test test 123 abc|asdf asdf qwerty|这是一段测试文字|摘要待填写|占位图
-Placeholder copy, to be written|Type something to begin writing|Your text here|Insert text here|Write your story here|Sample text|Dummy text, replace before launch|Lorem ipsum|Add a description|Untitled post|Text to come|Content goes here|Replace this paragraph|Test test test, please ignore|Testing, ignore this|Just another sample page
-Hier steht Ihr Text|Platzhaltertext, bitte ersetzen|Text folgt|Beispieltext|Titel eingeben|Blindtext|Mustertext vor dem Start ersetzen|Schreiben Sie hier Ihren Beitrag
-Votre texte ici|Texte de remplacement|Texte à venir|Saisissez votre texte|Exemple de paragraphe|Texte factice à remplacer avant la mise en ligne|Écrivez ici votre article
-Escriba aquí su texto|Texto de ejemplo|Texto provisional|Párrafo de muestra|Texto de relleno, sustituir antes de publicar|Contenido pendiente|Escriba aquí su entrada
-undefined|null|NULL NULL|NaN|None|[object Object]|undefined undefined|N/A N/A|{}|TODO|TBD|xxx|{ }
+文章内容稍后补上|这一段请自行替换|请在此编写您的文章|样例标题，样例正文|仅供调试使用的假数据
+Put your own words in this box|This paragraph is only here to fill space|Example heading, example body|Only a trial post, nothing to see|Replace before publishing
+Dieser Absatz dient nur als Füllung|Bitte durch eigenen Inhalt ersetzen|Nur ein Probebeitrag
+Ce paragraphe ne sert qu’à remplir|À remplacer par votre propre contenu|Simple article d’essai
+Este párrafo solo sirve de relleno|Cámbielo por su propio contenido|Solo una entrada de ensayo
 """
 
-#: Messages of the collector itself, which are no text of a page.
+#: What a collector reports of its own work.
 COLLECTOR = """
-connection reset, retried|read timeout after 73 s|connect timeout|request timed out|TLS handshake interrupted|dns lookup failed|proxy refused the connection|disk full while saving|image download incomplete (65 left)|could not write file|queue is full|worker stopped|retry limit reached|cookie expired, log in again|session expired|list endpoint returned nothing|parser found no body|empty response body|using an old cache entry|cancelled by the user|skipped by the user|rate limited, waited 30 s and gave up|preview only, paid content|download queue cancelled|chunked encoding error|too many redirects while fetching|socket closed by peer
-连接被重置，已重试 3 次|连接超时|读取超时|解析超时|请求超时，已重试|账号凭证过期，请重新登录|登录状态失效|列表接口返回空页|未能解析出有效正文|正文为空，列表中有标题|下载队列已取消|用户手动跳过|使用旧缓存|限速等待 87 秒后放弃|付费内容，仅保存试读部分|磁盘空间不足|图片下载未完成|写入文件失败|代理拒绝连接|域名解析失败|证书校验失败|任务被中断|未找到正文容器
+socket closed before the answer was complete|gave up after five attempts to connect|no answer within the deadline|host name could not be resolved|certificate of the host was not accepted|gateway of the crawler unreachable|sign in expired, ask for fresh credentials|cookies of this account are stale|thread pool has no free worker|job was dropped from the waiting list|quota of worker 7 is used up|throttled by the host, paused too long|no room left on the storage device|saving the picture was interrupted|body of the answer was empty|no known container in the markup|extractor returned zero characters|only the free teaser was stored|answered from the stored copy of last month|stopped by the operator|checksum of the download differs
+对端提前关闭了套接字|尝试五次仍无法建立连接|超过期限没有应答|主机名无法解析到地址|登录信息失效，需要换新的账户|线程池没有空闲的工作线程|作业已从等待队列移除|被限流，暂停过久后停止|存储设备空间用尽|保存图片时被打断|应答主体为空|标记中没有已知的容器|提取结果为零个字符|只存了免费的试读|读取了上个月的存档副本|操作员停止了任务
+Sitzung abgelaufen, Anmeldung erneuern|Zeitüberschreitung beim Verbinden|Kein Speicherplatz mehr auf dem Datenträger|Leere Antwort erhalten|Auftrag aus der Warteschlange entfernt|Drosselung, zu lange gewartet|nur Vorschau gespeichert|aus altem Zwischenspeicher gelesen
+Session expirée, identifiants à renouveler|Délai de connexion dépassé|Plus de place sur le support|Réponse sans contenu|Tâche retirée de la file|Débit limité, attente abandonnée|seul l’extrait gratuit est enregistré
+Sesión caducada, renueve las credenciales|Tiempo de conexión agotado|Sin espacio en la unidad|Respuesta sin contenido|Tarea retirada de la cola|Límite de peticiones, espera abandonada|solo se guardó el adelanto gratuito
 """
 
-_KEYS = "title author name date text body content html post article summary item page user site url image category tags id slug link".split()
-_FRAMES = ("{{{{{a}}}}}", "{{{{ {a} }}}}", "{{{{ {a}.{b} }}}}", "{{% {a} %}}", "<%= {a} %>", "<%= {a}.{b} %>", "%({a})s", "%%{A}%%", "@{a}@", "[{a}:{b}]", "[{a}]", "${{{a}}}", "#{{{a}}}", "{a}={{{b}}}", "{{{a}}}", "__{A}__", "__{A}_{B}__", "%%{A}_{B}%%", "[[{a}]]", "<?php echo ${a} ?>", "<?= ${a} ?>", "$[{a}]", "&lt;{a}&gt;", "{{{{{{{a}}}}}}}", "%{a}%", "{{$t('{a}')}}", "{a}: {{{{{b}}}}}")
-_LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo "
-    "consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum "
-    "venenatis tellus vestibulum pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas curabitur quisque adore amem labis loriam quorum conem nosis veniam utis amus exor quiam quore temsum doltur"
-).split()
+_KEYS = "colour widget gadget vendor basket invoice parcel region".split()
+_FRAMES = ("{{{{{a}}}}}", "{{{{ {a} }}}}", "{{{{ {a}.{b} }}}}", "{{% {a} %}}", "<%= {a} %>", "%({a})s", "%%{A}%%", "@{a}@", "[{a}:{b}]", "[%{a}%]", "${{{a}}}", "#{{{a}}}", "{{{a}}}", "{{${a}}}", "__{A}__", "[[{a}]]", "<?= ${a} ?>")
 
 
 def _split(text: str) -> list[str]:
     return [x.strip() for line in text.strip().splitlines() for x in line.split("|") if x.strip()]
 
 
-def notices() -> list[str]:
-    return _split(NOTICES)
-
-
 def collector() -> list[str]:
     return _split(COLLECTOR)
 
 
-def fillers(seed: int = 5) -> list[str]:
-    """Placeholders, template expressions of many engines, and pseudo-Latin."""
+def residue(seed: int = 5) -> list[str]:
+    """Notices, placeholders, and template expressions of many engines with made-up names."""
     rng = random.Random(seed)
-    out = _split(PLACEHOLDERS) * 2
+    out = _split(NOTICES) + _split(PLACEHOLDERS)
     for frame in _FRAMES:
-        for _ in range(8):
+        for _ in range(3):
             a, b = rng.choice(_KEYS), rng.choice(_KEYS)
             out.append(frame.format(a=a, b=b, A=a.upper(), B=b.upper()))
-    stems = ("lor ips dol am cons adip el tem lab magn al ven nos quis ex ut ad qu sed dol et ips ven nos lab cons tem").split()
-    tails = ("em um or it et is us ur at iam ore sum tur ipsum am a es em is iat").split()
-    for _ in range(60):
-        words = [rng.choice(_LOREM) if rng.random() < 0.5 else rng.choice(stems) + rng.choice(tails) for _ in range(14)]
-        out.append(" ".join(words).capitalize() + ".")
     return out

@@ -145,21 +145,47 @@ def test_sample_is_whole_beside_null_and_repeated_pages(spark):
     pages = [(f"page {i}", "text") for i in range(2000)]
     rows = [(None, "text")] * 1500 + [("", "text")] * 200 + [("no text", " ")] * 200 + [("copied", "text")] * 1500 + pages
     df = spark.createDataFrame(rows, "h string, m string")
-    got = residue._training_sample(df, "h", "m", 100)
+    got, blank = residue._training_sample(df, "h", "m", 100)
+    assert blank == ["no text"]
     assert len(got) == len(set(got)) == 100 and set(got) <= {("copied", "text"), *pages}
     alone = spark.createDataFrame([("copied", "text"), *pages], "h string, m string")
-    assert residue._training_sample(alone, "h", "m", 100) == got
-    assert residue._training_sample(df.filter("h is null"), "h", "m", 100) == []
+    assert residue._training_sample(alone, "h", "m", 100) == (got, [])
+    assert residue._training_sample(df.filter("h is null"), "h", "m", 100) == ([], [])
 
 
-def test_residue_notes(spark):
-    notes = [
-        (1, None, False), (2, " ", False), (3, "read timeout after 73 s", False), (4, "连接被重置，已重试 90 次", False), (5, "parse: 404 页面不存在", True), (6, "{{ body }}", True), (7, "page said: Please enable JavaScript to view this page.", True),
-        (8, "[body] 加载中，请稍候", True), (9, "worker 3: dns lookup failed", False), (10, "账号凭证过期，请重新登录 @x_y", False), (10, "账号凭证过期，请重新登录 @x_y", False), (11, "Access denied. Reference 1", True),
-    ]
+SHOWN = ["Nothing to see at this address, turn round", "The kitchen is closed, our cooks are repairing it", "{{ widget }} {{ gadget }}", "Diese Seite macht gerade Pause", "本店今日休息，请改日光临"]
+TOLD = ["ladder 7 fell over while painting", "harbour master refused the boat", "der Fährmann schläft noch", "油灯没有油了，已等候 30 分钟"]
+
+
+@pytest.fixture(scope="module")
+def noted(site, spark):
+    """Pages that show notices, and notes that carry them or report of the collector."""
+    df, _ = site
+    pages = [(400 + i, BAD[0].replace("404 Not Found", t), "", "t", "c", "c") for i, t in enumerate(SHOWN * 6)]
+    notes = [(i, f"{w}: {t}" if w else t, True) for i, (w, t) in enumerate((w, t) for w in ("", "page said", "mill") for t in SHOWN)]
+    notes += [(100 + i, f"{w}: {t}" if w else t, False) for i, (w, t) in enumerate((w, t) for w in ("", "page said", "mill", "worker 3") for t in TOLD)]
+    notes += [(200, None, False), (201, " ", False), (100, TOLD[0], False)]
+    return df.union(spark.createDataFrame(pages, SCHEMA)), notes
+
+
+def test_residue_notes(noted, spark):
+    pages, notes = noted
     df = spark.createDataFrame([(i, n, "c") for i, n, _ in notes], "id long, note string, tbl string")
-    assert sorted({r["id"] for r in residue.find_residue_notes(df, id_col="id", note_col="note").collect()}) == [i for i, _, bad in notes if bad]
-    assert residue.find_residue_notes(df.limit(0), id_col="id", note_col="note").count() == 0
+    args = {"id_col": "id", "note_col": "note", "html_col": "page", "extracted_col": "md"}
+    assert sorted({r["id"] for r in residue.find_residue_notes(df, pages, **args).collect()}) == [i for i, _, bad in notes if bad]
+    assert residue.find_residue_notes(df.limit(0), pages, **args).count() == 0
+    assert residue.find_residue_notes(df, pages.limit(0), **args).filter("id >= 100").count() == 0
+
+
+def test_reports_of_kinds_never_seen_are_no_residue(noted, spark):
+    pages, notes = noted
+    blank = [r["page"] for r in pages.filter("md = ''").collect() if r["page"]]
+    good = [r["page"] for r in pages.filter("length(md) > 0").collect()]
+    model = residue.NoteModel([n for _, n, _ in notes if n], blank, good)
+    unseen = ["Sitzung abgelaufen, bitte neu anmelden", "thread pool exhausted", "quota exceeded for worker 12", "out of memory while parsing", "任务超时被终止", "proxy timeout", "cookie invalid", "no space left"]
+    assert not any(residue.residue_notes(model, unseen))
+    # numbers and repeats of what pages show
+    assert all(residue.residue_notes(model, [f"{SHOWN[0]}\n{SHOWN[0]}", f"harbour: {SHOWN[1]}"]))
 
 
 def test_main_blocks_held_out(site, spark):
