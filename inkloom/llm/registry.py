@@ -89,20 +89,31 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).groups().select(F.col("id").alias("row_id"), F.col("group").alias("group_id"), "n_links")
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     return leakage.leaked_items(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", item_lang_col="lang"
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", item_lang_col="lang", **more
     )
 
 
+def _equal_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks whose passage has the required length without any edit."""
+    items = table(spark, sf_dir, "eval_item").select("item_id", F.when(F.col("lang") == "zh", leakage.MIN_RUN_ZH).otherwise(leakage.MIN_RUN).alias("least"))
+    return _leaks(spark, sf_dir).join(F.broadcast(items) if items.limit(100_001).count() <= 100_000 else items, "item_id").filter(F.col("equal_chars") >= F.col("least"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of an evaluation item, with each such item."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    return _equal_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with at most two edits in the passage."""
+    return _leaks(spark, sf_dir, max_edits=2).select("doc_id", "item_id", "passage_chars", "equal_chars")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each evaluation item leaked, and its longest passage."""
-    leaks = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("passage_chars").alias("longest_passage"))
+    """How often each evaluation item leaked, and its longest equal passage."""
+    leaks = _equal_leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("equal_chars").alias("longest_passage"))
     items = table(spark, sf_dir, "eval_item").select("item_id", "lang")
     return items.join(leaks, "item_id", "left").fillna(0, ["n_documents", "longest_passage"])
 
@@ -132,7 +143,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_edits, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,

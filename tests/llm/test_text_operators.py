@@ -224,30 +224,57 @@ def test_leaks_match_brute_force(spark):
             run, v = (24 if lang == "zh" else 60), leakage.normalise(u or "")
             if any(v[p : p + run] in plain for p in range(len(v) - run + 1)):
                 truth.add((i, k))
-    assert truth and {(r["id"], r["item_id"]) for r in got.collect()} == truth
-
-
-def test_leaks_with_edits():
-    rng = random.Random(9)
-    item = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(200))
-    index = leakage.ItemIndex([(1, item, 60)], max_edits=2, recall=0.99)
-    hits = 0
-    for _ in range(60):
-        p = rng.randrange(0, 120)
-        passage = list(item[p : p + 75])
-        del passage[rng.randrange(75)]
-        passage.insert(rng.randrange(74), "z")
-        text = "".join(rng.choice("uvwxyz") for _ in range(50)) + "".join(passage) + "".join(rng.choice("uvwxyz") for _ in range(50))
-        hits += bool(index.search([text]))
-    assert hits >= 54
-    assert not index.search(["".join(rng.choice("uvwxyz") for _ in range(300))])
-
-
-def test_items_have_a_checked_bound(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_ITEM_CHARS", 10)
-    items = spark.createDataFrame([(1, "x" * 11, "en")], "item_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        leakage.leaked_items(docs(spark, []), items, id_col="id", text_col="text", item_id_col="item_id", item_text_col="text", item_lang_col="lang")
+    least = {k: 24 if lang == "zh" else 60 for k, _, lang in items}
+    assert truth and {(r["id"], r["item_id"]) for r in got.collect() if r["equal_chars"] >= least[r["item_id"]]} == truth
+
+
+@pytest.mark.parametrize("run", [60, 24])
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_leaks_with_edits_reach_the_recall(run, edits):
+    """Passages of exactly ``run`` characters with ``edits`` edits at any place."""
+    rng = np.random.default_rng(5 + run + edits)
+    hits, n = 0, 0
+    for _ in range(200):
+        item = "".join(map(chr, rng.integers(97, 123, 200)))
+        p = int(rng.integers(0, 200 - run - edits))
+        passage = "".join(map(chr, leakage.edited(np.array([ord(c) for c in item[p : p + run + edits]]), edits, rng)))[:run]
+        if len(passage) < run:
+            continue
+        around = "".join(map(chr, rng.integers(65, 91, int(rng.integers(0, 40)) + 30)))
+        n += 1
+        hits += bool(leakage.ItemIndex([(1, item, run)], max_edits=edits).search([around[30:] + passage + around[:30]]))
+    assert hits >= 0.99 * n - 1
+    assert not leakage.ItemIndex([(1, item, run)], max_edits=edits).search(["".join(map(chr, rng.integers(117, 123, 300)))])
+
+
+def test_equal_runs_beside_edits():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90))
+    index = leakage.ItemIndex([(1, item, 60)], max_edits=1)
+    ((_, _, size, begin, equal),) = index.search(["#" * 7 + item[:40] + "#" + item[41:70] + "#" * 9])
+    assert (size, begin, equal) == (70, 7, 40)
+    ((_, _, size, begin, equal),) = index.search(["#" * 7 + item[:65] + "%" * 9])
+    assert begin in (6, 7) and equal == 65 and size >= 65
+
+
+def test_many_items_are_searched_in_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(90)) for _ in range(12)]
+    items = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)] + [(99, None, "en")], "item_id long, text string, lang string")
+    df = docs(spark, [(i, f"xx {texts[i % 12]} yy", "s") for i in range(24)] + [(50, None, "s"), (51, "", "s")])
+    args = {"id_col": "id", "text_col": "text", "item_id_col": "item_id", "item_text_col": "text", "item_lang_col": "lang"}
+    whole = sorted(map(tuple, leakage.leaked_items(df, items, **args).collect()))
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 200)
+    assert sorted(map(tuple, leakage.leaked_items(df, items, **args).collect())) == whole
+    assert {(r[0], r[1]) for r in whole} >= {(i, i % 12) for i in range(24)}
+
+
+def test_characters_that_normalise_to_many(spark):
+    """NFKC turns one character into up to 18: a text of few raw characters can hold a passage."""
+    items = spark.createDataFrame([(1, "\ufdfa" * 3, "zh")], "item_id long, text string, lang string")
+    df = docs(spark, [(1, "\ufdfa" * 3, "s")])
+    got = leakage.leaked_items(df, items, id_col="id", text_col="text", item_id_col="item_id", item_text_col="text", item_lang_col="lang").collect()
+    assert [(r["id"], r["item_id"]) for r in got] == [(1, 1)]
 
 
 # ---- mixing
