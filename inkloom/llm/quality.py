@@ -2,7 +2,10 @@
 
 All statistics are computed on whole Arrow batches (RE2 kernels over the texts,
 their lines and their words, numpy sums by document); no text is looped over in
-Python.  Each rule that a document fails is recorded by name.
+Python.  Published rules with their published thresholds decide which documents
+fail; each rule that a document fails is recorded by name.  What a document
+that fails mostly consists of tells its kind: list, table, junk, or prose of an
+unusual layout (verse, dialogue).
 """
 
 from __future__ import annotations
@@ -45,8 +48,12 @@ STATS = [
     ("digit_ratio", T.DoubleType()), ("letter_ratio", T.DoubleType()), ("punct_line_share", T.DoubleType()),
     ("sentence_ends_per_100", T.DoubleType()), ("bullet_line_share", T.DoubleType()), ("common_word_share", T.DoubleType()),
     ("distinct_word_share", T.DoubleType()), ("distinct_gram_share", T.DoubleType()), ("encoded_share", T.DoubleType()),
-    ("row_line_share", T.DoubleType()), ("prose_share", T.DoubleType()), ("entry_share", T.DoubleType()), ("cell_share", T.DoubleType()), ("machine_share", T.DoubleType()),
+    ("short_line_share", T.DoubleType()), ("mark_line_share", T.DoubleType()), ("ellipsis_line_share", T.DoubleType()), ("duplicate_line_chars", T.DoubleType()), ("duplicate_gram_chars", T.DoubleType()),
+    ("alphabetic_word_share", T.DoubleType()), ("stop_words", T.DoubleType()), ("hash_ellipsis_ratio", T.DoubleType()), ("row_line_share", T.DoubleType()), ("prose_share", T.DoubleType()), ("entry_share", T.DoubleType()), ("cell_share", T.DoubleType()), ("machine_share", T.DoubleType()),
 ]
+#: Lines below this length are short (published with its rule).
+SHORT_LINE = 30
+_MARKED = r"^[-*+•▪◆·●○■□▸►‣–—]\s*\S"
 #: Share of distinct n-grams below which a text repeats itself.
 REPEATED = 0.3
 #: Texts handled at a time.
@@ -77,6 +84,37 @@ def _chars(a: pa.Array, runs: str) -> np.ndarray:
     return np.asarray(pc.utf8_length(a)).astype(np.float64) - np.asarray(left).astype(np.float64)
 
 
+def _repeated_chars(lines: pa.Array, at: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Characters of each text in lines that stand before in it."""
+    if not len(lines):
+        return np.zeros(n)
+    codes = np.asarray(pc.dictionary_encode(lines).indices).astype(np.int64)
+    _, first = np.unique(at * (1 << 31) + codes, return_index=True)
+    once = np.zeros(len(at), dtype=bool)
+    once[first] = True
+    return np.bincount(at, weights=size * ~once, minlength=n)
+
+
+def _repeated_grams(codes: np.ndarray, of: np.ndarray, wide: np.ndarray, n: int, size: int = 10) -> np.ndarray:
+    """Share of each text's word characters in runs of ``size`` words that stand before in it."""
+    if len(codes) < size:
+        return np.zeros(n)
+    m = len(codes) - size + 1
+    key = of[:m].astype(np.uint64)
+    for i in range(size):
+        key = (key ^ codes[i : m + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    _, first = np.unique(key, return_index=True)
+    again = of[:m] == of[size - 1 :]
+    again[first] = False
+    edge = np.zeros(len(codes) + 1, dtype=np.int64)
+    at = np.flatnonzero(again)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    return np.bincount(of, weights=wide * covered, minlength=n) / np.maximum(np.bincount(of, weights=wide, minlength=n), 1.0)
+
+
 def _distinct_grams(texts: list[str], size: int = 4) -> np.ndarray:
     """Distinct character ``size``-grams over all, per text, counted anew every STRETCH characters so that length does not matter."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -168,6 +206,14 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         "distinct_word_share": np.bincount(pairs >> 31, minlength=n) / tokens,
         "distinct_gram_share": _distinct_grams(texts.to_pylist()),
         "encoded_share": by_doc(np.asarray(pc.utf8_length(pc.replace_substring_regex(lines, r"[A-Za-z0-9+/=_-]{40,}", ""))).astype(float) * -1 + size) / all_size,
+        "short_line_share": by_doc(size < SHORT_LINE) / n_lines,
+        "mark_line_share": by_doc(_flag(lines, _MARKED)) / n_lines,
+        "ellipsis_line_share": by_doc(_flag(lines, r"(?:\.\.\.|…)$")) / n_lines,
+        "duplicate_line_chars": _repeated_chars(lines, at, size, n) / np.maximum(by_doc(size), 1.0),
+        "duplicate_gram_chars": _repeated_grams(codes, of, wide, n),
+        "alphabetic_word_share": np.where(n_words > 0, (np.bincount(of, weights=latin & _flag(words, r"\p{L}"), minlength=n) + han) / np.maximum(n_words, 1), 0.0),
+        "stop_words": np.minimum(common_share, 1.0) * n_words,
+        "hash_ellipsis_ratio": _count(texts, r"#|…|\.\.\.") / np.maximum(n_words, 1),
         "row_line_share": by_doc(table | entry) / n_lines,
         "prose_share": by_doc(size * prose) / all_size,
         "entry_share": by_doc(size * entry) / all_size,
@@ -176,8 +222,40 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def failed_rules(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Which document fails which rule."""
+#: Fixed values, the published rules with their thresholds: statistic, least and most value allowed.
+#: gopher: Rae et al. 2021, "Scaling Language Models: Methods, Analysis & Insights from Training Gopher", table A1.
+#: fineweb: Penedo et al. 2024, "The FineWeb Datasets", section 3.6.
+#: A Han character counts as a word in all but the mean word length.
+PUBLISHED: dict[str, tuple[str, float, float]] = {
+    "gopher_word_count": ("n_words", 50, 100_000),
+    "gopher_mean_word_length": ("mean_word_length", 3, 10),
+    "gopher_symbol_ratio": ("hash_ellipsis_ratio", 0, 0.1),
+    "gopher_bullet_lines": ("mark_line_share", 0, 0.9),
+    "gopher_ellipsis_lines": ("ellipsis_line_share", 0, 0.3),
+    "gopher_alphabetic_words": ("alphabetic_word_share", 0.8, 1),
+    "gopher_stop_words": ("stop_words", 2, np.inf),
+    "gopher_duplicate_line_chars": ("duplicate_line_chars", 0, 0.2),
+    "gopher_duplicate_10gram_chars": ("duplicate_gram_chars", 0, 0.10),
+    "fineweb_line_punctuation": ("punct_line_share", 0.12, 1),
+    "fineweb_duplicate_line_chars": ("duplicate_line_chars", 0, 0.1),
+    "fineweb_short_lines": ("short_line_share", 0, 0.67),
+}
+
+
+def failed_rules(s: dict[str, np.ndarray], rules: dict[str, tuple[str, float, float]] | None = None) -> dict[str, np.ndarray]:
+    """Which document fails which published rule."""
+    out = {}
+    for name, (stat, least, most) in (PUBLISHED if rules is None else rules).items():
+        out[name] = (s[stat] < least - 1e-9) | (s[stat] > most + 1e-9)
+        if name == "gopher_mean_word_length":
+            out[name] &= s[stat] > 0  # texts of Han characters alone
+        if name == "fineweb_line_punctuation":
+            out[name] |= s[stat] <= least + 1e-9
+    return out
+
+
+def signs(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What a document mostly consists of, by the shares of its characters."""
     long = s["n_chars"] >= 60
     rows = s["n_lines"] >= LEAST_ROWS
     one = ~rows & (s["n_chars"] >= LONG_ENTRY)
@@ -195,26 +273,22 @@ def failed_rules(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "mostly_entries": rows & (s["entry_share"] > s["prose_share"]) & (s["entry_share"] > s["cell_share"]),
         "cells_and_entries": rows & (s["cell_share"] + s["entry_share"] > s["prose_share"]),
         "mostly_short_rows": rows & (s["row_line_share"] >= 0.75) & (s["cell_share"] + s["entry_share"] >= 0.4),
-        # published quality rules, kept for the record
-        "word_count": (s["n_words"] < 50) | (s["n_words"] > 100_000),
-        "mean_word_length": (s["mean_word_length"] > 0) & ((s["mean_word_length"] < 3) | (s["mean_word_length"] > 10)),
-        "symbol_ratio": s["symbol_ratio"] > 0.1,
-        "bullet_lines": s["bullet_line_share"] > 0.9,
     }
 
 
-JUNK_RULES = ("encoded_data", "mostly_symbols", "symbol_soup", "machine_output", "repeats_itself", "no_sentence_end", "no_common_words")
+JUNK_SIGNS = ("encoded_data", "mostly_symbols", "symbol_soup", "machine_output", "repeats_itself", "no_sentence_end", "no_common_words")
 
 
 def kinds(s: dict[str, np.ndarray], failed: dict[str, np.ndarray]) -> np.ndarray:
-    """'prose', 'list', 'table' or 'junk' for each document."""
+    """'prose', 'list', 'table' or 'junk' for each document; only one that fails a published rule is no prose."""
     n = len(s["n_chars"])
     out = np.full(n, "prose", dtype=object)
-    layout = failed["mostly_cells"] | failed["mostly_entries"] | failed["cells_and_entries"] | failed["mostly_short_rows"]
+    shown = signs(s)
+    layout = shown["mostly_cells"] | shown["mostly_entries"] | shown["cells_and_entries"] | shown["mostly_short_rows"]
     out[layout & (s["entry_share"] >= s["cell_share"])] = "list"
     out[layout & (s["cell_share"] > s["entry_share"])] = "table"
-    junk = np.logical_or.reduce([failed[r] for r in JUNK_RULES])
-    out[junk] = "junk"
+    out[np.logical_or.reduce([shown[r] for r in JUNK_SIGNS])] = "junk"
+    out[~np.logical_or.reduce([np.zeros(n, dtype=bool), *failed.values()])] = "prose"
     return out
 
 
@@ -224,7 +298,7 @@ def _schema(id_type: T.DataType) -> T.StructType:
 
 
 def quality_statistics(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: the statistics STATS, its ``kind`` and the ``reasons`` (failed rules).
+    """One row per document: the statistics STATS, its ``kind`` and the ``reasons`` (published rules it fails).
 
     NULL and blank texts have zero statistics, kind 'empty' and the reason
     'empty'.  Repeated ids keep a row each; other columns are ignored; an empty

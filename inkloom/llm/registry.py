@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkloom.llm import boilerplate, encoding, leakage, lines, mixing, neardup, quality, residue, split
+from inkloom.llm import boilerplate, encoding, leakage, lines, mixing, neardup, quality, residue, split, tokens
 from inkloom.session import table
 
 _LINES = {"id_col": "row_id", "text_col": "content_markdown", "source_col": "platform"}
@@ -67,6 +67,12 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
 
 
+def p5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles in pieces of at most 800 tokens of a public tokenizer, overlapping by 50, without their texts."""
+    pieces = split.split_oversized(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown", limit=800, overlap=50, tokenizer_path=tokens.DEFAULT_TOKENIZER)
+    return pieces.select("row_id", "piece_no", "start", "end", "overlap", "cut")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles and items that hold residue instead of content."""
     cache, of_page = table(spark, sf_dir, "article_cache"), {"html_col": "content_html", "extracted_col": "content_markdown"}
@@ -143,7 +149,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_found, p8_edits, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p5_tokens, p6_found, p7_found, p7_groups, p8_found, p8_edits, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,

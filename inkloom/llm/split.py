@@ -3,7 +3,8 @@
 Sizes are prefix sums over a text's characters (of characters, or of a public
 tokenizer's tokens); boundaries are sorted offset arrays by kind.  The last
 boundary under the limit is found by binary search, the next piece steps back
-by the overlap, and where no boundary serves the cut is hard.
+by the overlap, and where no boundary serves the cut is hard.  The same arrays
+tell which is the largest natural unit whose gaps are all within the limit.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from inkloom.llm.batching import steps
 
 LIMIT, OVERLAP = 3000, 200
 #: A boundary is taken only if the piece is at least this full; then less full ones are tried.
@@ -23,52 +27,56 @@ KINDS = ("paragraph", "line", "sentence", "word")
 PIECE_SCHEMA = "piece_no int, start long, end long, overlap long, cut string, piece string, boundary string"
 
 _LINE_END = re.compile(r"\r?\n")
-_PARAGRAPH = re.compile(r"\r?\n(?:[ \t\r]*\n)+")
+#: Lines of white space only, with the line end before them.
+_PARAGRAPH = re.compile(r"(?:\r?\n|\A)(?:[ \t\r]*\n)+|\r?\n[ \t\r]*\Z")
 _SENTENCE = re.compile(r"[。！？]|[.!?](?=[ \t])")
 _SENTENCE_GAP = re.compile(r"(?:[。！？]|[.!?](?=[ \t]))[ \t]*")
 _SPACE = re.compile(r"[ \t\r\n]+")
-_WHITE = " \t\r\n"
 
 
-def boundary_offsets(text: str) -> dict[str, np.ndarray]:
-    """Sorted offsets at which each kind of unit begins anew."""
-    ends = {
-        "paragraph": [m.end() for m in _PARAGRAPH.finditer(text)],
-        "line": [m.end() for m in _LINE_END.finditer(text)],
-        "sentence": [m.end() for m in _SENTENCE_GAP.finditer(text)],
-        "word": [m.end() for m in _SPACE.finditer(text)],
-    }
-    return {k: np.asarray(v, dtype=np.int64) for k, v in ends.items()}
+class Units:
+    """The natural units of a text: for each kind sorted arrays of their starts and ends."""
+
+    def __init__(self, text: str):
+        n = len(text)
+        self.bounds: dict[str, np.ndarray] = {}
+        self.ends: dict[str, np.ndarray] = {}
+        for kind, gap in (("paragraph", _PARAGRAPH), ("line", _LINE_END), ("word", _SPACE)):
+            spans = [m.span() for m in gap.finditer(text)]
+            self.bounds[kind] = np.array([b for _, b in spans], dtype=np.int64)
+            self.ends[kind] = np.array([*[a for a, _ in spans], n], dtype=np.int64)
+        self.bounds["sentence"] = np.array([m.end() for m in _SENTENCE_GAP.finditer(text)], dtype=np.int64)
+        # a sentence ends after its mark, or with its line
+        marks = np.array([m.end() for m in _SENTENCE.finditer(text)], dtype=np.int64)
+        self.cuts = np.unique(np.concatenate([[0], self.bounds["line"], self.ends["line"], marks]).astype(np.int64))
+        # a CR before its LF is no character of its own
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        pair = np.zeros(n, dtype=bool)
+        if n > 1:
+            pair[:-1] = (codes[:-1] == 13) & (codes[1:] == 10)
+        self.prefix = np.concatenate([[0], np.cumsum(~pair)]).astype(np.int64)
+        self.solid = np.flatnonzero((codes != 32) & ((codes < 9) | (codes > 10)) & (codes != 13))
+
+    def longest(self, kind: str) -> int:
+        """The largest gap between two boundaries of a kind, by the prefix sums; sentences are trimmed of white space."""
+        if kind != "sentence":
+            starts, ends = np.concatenate([[0], self.bounds[kind]]), self.ends[kind]
+        else:
+            # from the first solid character at or after a cut to the last one before the next
+            starts, ends = self.cuts[:-1], self.cuts[1:]
+            first, last = np.searchsorted(self.solid, starts), np.searchsorted(self.solid, ends) - 1
+            some = first <= last
+            starts, ends = self.solid[first[some]], self.solid[last[some]] + 1
+        return int((self.prefix[ends] - self.prefix[starts]).max(initial=0))
+
+    def kind(self, limit: int) -> str:
+        """The largest natural unit all of whose pieces are within ``limit`` characters, 'none' if even words are not."""
+        return next((k for k in KINDS if self.longest(k) <= limit), "none")
 
 
 def boundary_kind(text: str, limit: int = LIMIT) -> str:
     """The largest natural unit all of whose pieces are within ``limit`` characters."""
-    lines = _LINE_END.split(text)
-    longest = size = count = 0
-    for line in lines:
-        if line.strip(_WHITE):
-            size, count = size + len(line), count + 1
-            longest = max(longest, size + count - 1)
-        else:
-            size = count = 0
-    if longest <= limit:
-        return "paragraph"
-    if max(map(len, lines)) <= limit:
-        return "line"
-    sentences = (s for line in lines for s in _cut(line, _SENTENCE))
-    if max((len(s.strip(_WHITE)) for s in sentences), default=0) <= limit:
-        return "sentence"
-    if max(map(len, _SPACE.split(text))) <= limit:
-        return "word"
-    return "none"
-
-
-def _cut(line: str, ends: re.Pattern) -> Iterator[str]:
-    at = 0
-    for m in ends.finditer(line):
-        yield line[at : m.end()]
-        at = m.end()
-    yield line[at:]
+    return Units(text).kind(limit)
 
 
 def _safe_cut(text: str, at: int, start: int) -> int:
@@ -81,10 +89,15 @@ def _safe_cut(text: str, at: int, start: int) -> int:
     return best if best > start else at
 
 
-def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: np.ndarray | None = None, min_fill: float = MIN_FILL) -> list[tuple[int, int, int, str]]:
+def split_text(
+    text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: np.ndarray | None = None, min_fill: float = MIN_FILL, units: Units | None = None, measure: Callable[[str], int] | None = None
+) -> list[tuple[int, int, int, str]]:
     """Pieces ``(start, end, overlap, cut)`` of a text, each at most ``limit`` large.
 
-    ``prefix[i]`` is the size of ``text[:i]`` (characters if not given).  A
+    ``prefix[i]`` is the size of ``text[:i]`` (characters if not given).  Where
+    the size of a piece by itself may be above the difference of two prefixes
+    (tokens), ``measure`` gives it, and the piece is cut shorter until it is
+    within the limit.  A
     piece starts exactly ``overlap`` before the end of the last one (with
     tokens: as near as characters allow, never more).  ``cut`` is the kind of
     boundary the piece ends at: one of KINDS, 'hard' or 'end'.
@@ -95,16 +108,17 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: np
     if n == 0:
         return []
     size = np.arange(n + 1, dtype=np.int64) if prefix is None else prefix
-    bounds: dict[str, np.ndarray] | None = None
+    bounds = units.bounds if units else None
     pieces, start, over = [], 0, 0
+    room = limit
     while True:
-        if size[n] - size[start] <= limit:
+        if size[n] - size[start] <= room and (measure is None or measure(text[start:n]) <= limit):
             pieces.append((start, n, over, "end"))
             return pieces
         if bounds is None:
-            bounds = boundary_offsets(text)
-        reach = int(np.searchsorted(size, size[start] + limit, side="right")) - 1
-        reach = max(reach, start + 1)
+            bounds = Units(text).bounds
+        reach = int(np.searchsorted(size, size[start] + room, side="right")) - 1
+        reach = min(max(reach, start + 1), n - 1 if measure else n)
         cut, end = "hard", None
         # the piece must bring something beyond the overlap
         beyond = int(np.searchsorted(size, size[start] + overlap, side="right")) if pieces else start + 1
@@ -119,6 +133,11 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: np
                 break
         if end is None:
             end = _safe_cut(text, reach, max(start, beyond - 1))
+        if measure and end > start + 1 and measure(text[start:end]) > limit:
+            room = max(min(room, int(size[end] - size[start])) - 1, 1)
+            if reach > start + 1:
+                continue
+        room = limit
         pieces.append((start, end, over, cut))
         back = int(np.searchsorted(size, size[end] - overlap, side="left"))
         nxt = max(back, start + 1)
@@ -159,7 +178,7 @@ def split_oversized(
     """Pieces ``(id, piece_no, start, end, overlap, cut, piece, boundary)`` of every text, cut only where over ``limit``.
 
     ``boundary`` is, for texts over ``limit`` characters, the largest natural
-    unit of which every one is within the limit (see ``boundary_kind``).
+    unit of which every one is within the limit (see ``Units.kind``).
 
     Sizes are characters, or tokens of the tokenizer file if given.  Texts
     within the limit are one piece with cut 'end' and, for characters, never
@@ -167,20 +186,29 @@ def split_oversized(
     give their pieces; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text") != "")
-    id_type = slim.schema["__id"].dataType.simpleString()
     large = slim if tokenizer_path else slim.filter(F.length("__text") > limit)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["__id", "piece_no", "start", "end", "overlap", "cut", "piece", "boundary"]
+    schema = T.StructType([large.schema["__id"], *T._parse_datatype_string(PIECE_SCHEMA).fields])
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _token_lengths(tokenizer_path) if tokenizer_path else None
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["__id"], batch["__text"]):
-                prefix = token_prefix(lengths, text) if lengths else None
-                natural = boundary_kind(text, limit) if len(text) > limit else None
-                rows += [(key, i, s, e, o, kind, text[s:e], natural) for i, (s, e, o, kind) in enumerate(split_text(text, limit, overlap, prefix))]
-            yield pd.DataFrame(rows, columns=["__id", "piece_no", "start", "end", "overlap", "cut", "piece", "boundary"])
-
-    pieces = large.mapInPandas(cut, f"__id {id_type}, {PIECE_SCHEMA}")
+            for part in steps(batch, [1], 2000):
+                owner, rows = [], []
+                for r, text in enumerate(part.column(1).to_pylist()):
+                    units = Units(text) if len(text) > limit else None
+                    prefix = token_prefix(lengths, text) if lengths else None
+                    measure = (lambda piece: len(lengths(piece))) if lengths else None
+                    natural = units.kind(limit) if units else None
+                    found = split_text(text, limit, overlap, prefix, units=units, measure=measure)
+                    rows += [(i, s, e, o, kind, text[s:e], natural) for i, (s, e, o, kind) in enumerate(found)]
+                    owner += [r] * len(found)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *columns], names=names)
+
+    pieces = large.mapInArrow(cut, schema)
     if not tokenizer_path:
         zero = F.lit(0).cast("long")
         small = slim.filter(F.length("__text") <= limit).select(

@@ -109,6 +109,32 @@ def test_boundary_kind(text, kind):
     assert split.boundary_kind(text, 30) == kind
 
 
+def plain_kind(text, limit):
+    """The definition, line by line."""
+    lines = re.split(r"\r?\n", text)
+    longest = size = count = 0
+    for line in lines:
+        if line.strip(" \t\r\n"):
+            size, count = size + len(line), count + 1
+            longest = max(longest, size + count - 1)
+        else:
+            size = count = 0
+    if longest <= limit:
+        return "paragraph"
+    if max(map(len, lines)) <= limit:
+        return "line"
+    sentences = [s for line in lines for s in re.split(r"(?<=[。！？])|(?<=[.!?])(?=[ \t])", line)]
+    if max((len(s.strip(" \t\r\n")) for s in sentences), default=0) <= limit:
+        return "sentence"
+    return "word" if max(map(len, re.split(r"[ \t\r\n]+", text))) <= limit else "none"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab .\n。!？\r\t", max_size=300), st.integers(1, 60))
+def test_boundary_kind_is_the_definition(text, limit):
+    assert split.boundary_kind(text, limit) == plain_kind(text, limit)
+
+
 def test_split_of_a_table(spark):
     df = docs(spark, [(1, None, None), (2, "", None), (3, "short", None), (4, "word " * 2000, None), (4, "word " * 2000, None), (5, "好" * 10_000, None)])
     got = split.split_oversized(df, id_col="id", text_col="text", limit=3000, overlap=200)
@@ -125,7 +151,7 @@ def test_split_by_tokens(spark):
     text = "The quick brown fox jumps over the lazy dog. 敏捷的棕色狐狸。 " * 60
     got = split.split_oversized(docs(spark, [(1, text, None)]), id_col="id", text_col="text", limit=100, overlap=10, tokenizer_path=DEFAULT_TOKENIZER).orderBy("piece_no").collect()
     encode = bpe().encode_ordinary
-    assert all(len(encode(r["piece"])) <= 102 for r in got)
+    assert all(len(encode(r["piece"])) <= 100 for r in got)
     assert split.joined([(r["piece"], r["overlap"]) for r in got]) == text
 
 
@@ -319,11 +345,30 @@ def test_kinds(kind, text):
     assert quality.kinds(s, quality.failed_rules(s))[0] == kind
 
 
+def test_published_rules_decide():
+    pairs = ["Mühle Bach", "Brücke Fluss", "Lampe Tisch", "Garten Haus", "Fenster Wand", "Katze Ofen"]
+    titles = "\n".join("Über die {0} neben dem {1}, und wie man {1} mit {0} zusammen denkt".format(*p.split()) for p in pairs)
+    texts = [titles, *[t for ts in KINDS.values() for t in ts]]
+    s = quality.text_statistics(pa.array(texts))
+    failed = quality.failed_rules(s)
+    whole = quality.kinds(s, failed)
+    assert (quality.kinds(s, {}) == "prose").all()
+    assert any((quality.kinds(s, {k: v for k, v in failed.items() if k != rule}) != whole).any() for rule in quality.PUBLISHED)
+    low = {**quality.PUBLISHED, "gopher_word_count": ("n_words", 10, 20)}
+    assert quality.failed_rules(s, low)["gopher_word_count"].sum() != failed["gopher_word_count"].sum()
+
+
+def test_repeated_word_runs():
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words * 2), " ".join([*words, *words[:9]]), ""]
+    assert np.allclose(quality.text_statistics(pa.array(texts))["duplicate_gram_chars"], [0, 0.5, 0, 0])
+
+
 def test_statistics_of_a_table(spark):
     df = docs(spark, [(1, None, None), (2, " \n ", None), (3, PROSE, None), (3, PROSE, None), (4, PROSE * 2000, None)])
     got = {r["id"]: r for r in quality.quality_statistics(df, id_col="id", text_col="text").collect()}
     assert got[1]["kind"] == got[2]["kind"] == "empty" and got[1]["reasons"] == ["empty"] and got[1]["n_chars"] == 0
-    assert got[3]["kind"] == "prose" and got[3]["n_chars"] == len(PROSE) and got[4]["kind"] == "junk" and "repeats_itself" in got[4]["reasons"]
+    assert got[3]["kind"] == "prose" and got[3]["n_chars"] == len(PROSE) and got[4]["kind"] == "junk" and "gopher_duplicate_10gram_chars" in got[4]["reasons"]
     assert quality.quality_statistics(docs(spark, []), id_col="id", text_col="text").count() == 0
 
 
