@@ -91,8 +91,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every article with its group of near-duplicates and its number of links."""
-    return _near(spark, sf_dir).groups().select(F.col("id").alias("row_id"), F.col("group").alias("group_id"), "n_links")
+    """Every article with its group of near-duplicates."""
+    return _near(spark, sf_dir).groups().select(F.col("id").alias("row_id"), F.col("group").alias("group_id"))
 
 
 def _leaks(spark: SparkSession, sf_dir: str, **more) -> DataFrame:

@@ -189,6 +189,7 @@ def test_near_duplicates_match_brute_force(spark):
     assert got <= truth and len(got) >= 0.98 * len(truth)
     groups = {r["id"]: r["group"] for r in near.groups().collect()}
     assert len(groups) == len(rows) and groups[4] == groups[0] == 0
+    assert all(groups[a] == groups[b] for a, b in got)
 
 
 def test_near_duplicates_of_odd_texts(spark):
@@ -200,7 +201,8 @@ def test_near_duplicates_of_odd_texts(spark):
 
 def test_hot_group_of_copies(spark):
     near = neardup.NearDuplicates(docs(spark, [(i, "one text that many rows hold", None) for i in range(450)]), id_col="id", text_col="text")
-    assert near.row_pairs().count() == 450 * 449 // 2 and near.candidates.count() == 0
+    assert near.row_pairs().count() == 450 * 449 // 2 and near.links().count() == 0
+    assert {r["group"] for r in near.groups().collect()} == {0}
 
 
 def test_near_copies_that_are_a_third_of_the_rows(spark):
@@ -213,6 +215,8 @@ def test_near_copies_that_are_a_third_of_the_rows(spark):
             words[at] = "".join(rng.choice("qrstuvwxyz") for _ in range(5))
         rows.append((i, " ".join(words), None))
     got = {(r["a"], r["b"]) for r in neardup.NearDuplicates(docs(spark, rows), id_col="id", text_col="text").row_pairs().collect()}
+    groups = {r["id"]: r["group"] for r in neardup.NearDuplicates(docs(spark, rows), id_col="id", text_col="text").groups().collect()}
+    assert len(groups) == 360 and {groups[i] for i in range(240, 360)} == {240}
     group = [(i, t.replace(" ", "")) for i, t, _ in rows[240:]]
     truth = {(i, j) for i, a in group for j, b in group if i < j and jaccard(a, b) >= 0.7}
     assert len(truth) > 6000 and got <= truth and len(got) >= 0.99 * len(truth)
