@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.functions.batching import steps
+
+#: Elements nested deeper are flat in the deepest one, as browsers do it: no page is too deep to walk.
+MAX_DEPTH = 120
 #: Elements dropped with all they hold.
 DROPPED = frozenset("script style noscript iframe form button input select textarea svg canvas link meta head".split())
 #: Elements of a page's frame, dropped unless the whole page is asked for.
@@ -24,6 +28,12 @@ IMAGE_SOURCES = ("real_src", "data-original", "data-original-src", "data-actuals
 SHOWN_SOURCES = ("src", "data-src", "data-actualsrc", "data-original-src", "data-original")
 _CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol blockquote pre table figure hr".split())
+_NO_TEXT = frozenset("table thead tbody tfoot tr ul ol".split())
+_INLINE = frozenset("a b strong em i del s span font u code".split())
+#: Open inline elements before a block from which they are taken for unclosed.
+UNCLOSED = 8
+#: Class names of elements that hold the content, best first, where neither article nor main does.
+CONTENT_CLASSES = ("article-content", "post-content", "entry-content", "article-body", "post-body", "content", "article", "post")
 _HIDDEN = re.compile(r"visibility\s*:\s*hidden\s*;?|opacity\s*:\s*0(?![.\d])\s*;?", re.I)
 _LAYOUT = re.compile(r"(?:position|float|z-index|transform|(?:margin|top|left|right|bottom)[a-z-]*\s*:\s*-)[^;]*;?", re.I)
 _WATERMARK = re.compile(r"[?&](?:x-oss-process=image/watermark|watermark|imageMogr2/watermark|source=)[^&#]*")
@@ -63,11 +73,18 @@ class _Builder(HTMLParser):
                     break
             if outermost is not None:
                 del self.open[outermost:]
-        elif tag in _BLOCKS and self.open[-1].tag == "p":
-            self.open.pop()
+        elif tag in _BLOCKS:
+            # inline elements that were never closed end with their block
+            at = len(self.open) - 1
+            while at > 0 and self.open[at].tag in _INLINE:
+                at -= 1
+            if self.open[at].tag == "p":
+                del self.open[at:]
+            elif len(self.open) - 1 - at > UNCLOSED:
+                del self.open[at + 1 :]
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
             self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -82,7 +99,11 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            self.open[-1].children.append(data)
+            node = self.open[-1]
+            if len(self.open) >= MAX_DEPTH:
+                # the deepest element may be one that holds no text itself
+                node = next((n for n in reversed(self.open) if n.tag not in _NO_TEXT), self.root)
+            node.children.append(data)
 
 
 def parse(page: str) -> Node:
@@ -119,23 +140,31 @@ def text_of(node: Node | str) -> str:
     return node if isinstance(node, str) else "".join(text_of(c) for c in node.children)
 
 
+def _find_class(root: Node, name: str) -> Node | None:
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        if name in node.attrs.get("class", "").lower().split():
+            return node
+        waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return None
+
+
 def content_root(root: Node) -> Node:
-    """The content element: article, else main, else the element that holds most text in paragraphs, else all."""
+    """The content element: article, else main, else one of a content class, else the element that holds most text in paragraphs, else all."""
     for tag in ("article", "main"):
         if (found := _find(root, (tag,))) is not None and text_of(found).strip():
             return found
-    best, most = root, 0
-
-    def walk(node: Node) -> None:
-        nonlocal best, most
+    for name in CONTENT_CLASSES:
+        if (found := _find_class(root, name)) is not None and text_of(found).strip():
+            return found
+    best, most, waiting = root, 0, [root]
+    while waiting:
+        node = waiting.pop()
         size = sum(len(text_of(c).strip()) for c in node.children if isinstance(c, Node) and c.tag in ("p", "pre", "blockquote", "h2", "h3"))
         if size > most:
             best, most = node, size
-        for c in node.children:
-            if isinstance(c, Node):
-                walk(c)
-
-    walk(root)
+        waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
     return best
 
 
@@ -219,8 +248,8 @@ def to_markdown(node: Node, images: list[str], depth: int = 0) -> list[str]:
                 out.append(f"```\n{code}\n```")
         elif tag in ("ul", "ol"):
             items = []
-            for n, item in enumerate([c for c in child.children if isinstance(c, Node)], 1):
-                blocks = to_markdown(Node("span", {}, item.children), images, depth + 1)
+            for n, item in enumerate([c for c in child.children if isinstance(c, Node) or c.strip()], 1):
+                blocks = to_markdown(Node("span", {}, [item] if isinstance(item, str) else item.children), images, depth + 1)
                 if blocks:
                     mark = f"{n}. " if tag == "ol" else "- "
                     items.append("  " * depth + mark + "\n".join(blocks).strip())
@@ -240,6 +269,8 @@ def to_markdown(node: Node, images: list[str], depth: int = 0) -> list[str]:
                 lines = ["| " + " | ".join(r) + " |" for r in cells]
                 lines.insert(1, "|" + "---|" * len(cells[0]))
                 out.append("\n".join(lines))
+            elif text := _inline(Node("span", {}, child.children), images).strip():
+                out.append(text)
         elif tag == "hr":
             out.append("---")
         else:
@@ -279,7 +310,7 @@ def clean_pages(df: DataFrame, *, id_col: str, html_col: str, title_col: str | N
     schema = T.StructType([slim.schema["__id"], T.StructField("clean_html", T.StringType()), T.StructField("markdown", T.StringType()), T.StructField("images", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in steps(whole_batch, [1], 500)):
             done = [clean_page(h, t, whole) for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             columns = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)

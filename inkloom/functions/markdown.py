@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.functions.batching import steps
+
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 _BULLET = re.compile(r"^(\s*)[-*+•]\s+(.*)$")
 _ORDERED = re.compile(r"^(\s*)(\d{1,4})[.)、]\s+(.*)$")
@@ -23,19 +25,49 @@ _INLINE = re.compile(
 _WIDTH = {"code": 1, "both": 3, "bold": 2, "italic": 1, "strike": 2}
 #: Deepest indent that is told apart.
 MAX_INDENT = 4
+RUNS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("style", "text", "target")]))
+
+
+_CODE_SPAN = re.compile(r"(`[^`\n]+`)")
 
 
 def sanitise(md: str) -> str:
-    """Markdown without script links, stray tags, escapes, unpaired bold marks and contents marks."""
+    """Markdown without script links, stray tags, escapes, unpaired bold marks and contents marks; code is left as it is."""
+    out: list[str] = []
+    plain: list[str] = []
+    fenced = False
+    for line in md.split("\n"):
+        if line.strip().startswith("```"):
+            if not fenced:
+                out += _sanitised(plain)
+                plain = []
+            fenced = not fenced
+            out.append(line)
+        elif fenced:
+            out.append(line)
+        else:
+            plain.append(line)
+    return "\n".join(out + _sanitised(plain))
+
+
+def _sanitised(lines: list[str]) -> list[str]:
+    if not lines:
+        return []
+    # every second part is a code span
+    parts = _CODE_SPAN.split("\n".join(lines))
+    md = "".join(x if i % 2 else _without_tags(x) for i, x in enumerate(parts))
+    md = re.sub(r"(?mi)^\s*\[toc\]\s*$", "", md)
+    return [line if _CODE_SPAN.sub("", line).count("**") % 2 == 0 else "".join(x if i % 2 else x.replace("**", "") for i, x in enumerate(_CODE_SPAN.split(line))) for line in md.split("\n")]
+
+
+def _without_tags(md: str) -> str:
     md = html.unescape(md)
     md = re.sub(r"!?\[([^\]]*)\]\(\s*javascript:[^)]*\)", r"\1", md, flags=re.I)
     md = re.sub(r"</?(?:strong|b)>", "**", md, flags=re.I)
     md = re.sub(r"</?(?:em|i)>", "*", md, flags=re.I)
     md = re.sub(r"<br\s*/?>", "\n", md, flags=re.I)
     md = re.sub(r"</?[a-zA-Z][^>\n]*>", "", md)
-    md = re.sub(r"\\([\\`*_{}\[\]()#+.!|>~-])", r"\1", md)
-    md = re.sub(r"(?mi)^\s*\[toc\]\s*$", "", md)
-    return "\n".join(line.replace("**", "") if line.count("**") % 2 else line for line in md.split("\n"))
+    return re.sub(r"\\([\\`*_{}\[\]()#+.!|>~-])", r"\1", md)
 
 
 def inline_runs(text: str) -> list[tuple[str, str, str]]:
@@ -123,20 +155,26 @@ def blocks(md: str) -> list[tuple[str, int, str]]:
 
 
 def markdown_blocks(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``(id, seq, kind, level, text, n_runs)`` of every block of every text; NULL and empty texts have none."""
+    """``(id, seq, kind, level, text, n_runs, runs)`` of every block of every text; NULL and empty texts have none.
+
+    ``runs`` are the inline runs ``(style, text, target)`` of a block, for code one run of style 'code'.
+    """
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).filter("t <> ''")
     schema = T.StructType(
-        [slim.schema["__id"], T.StructField("seq", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_runs", T.IntegerType())]
+        [slim.schema["__id"], T.StructField("seq", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_runs", T.IntegerType()), T.StructField("runs", RUNS)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole, [1], 2000)):
             own, rows = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 found = blocks(sanitise(t))
                 own += [i] * len(found)
-                rows += [(n, k, level, text, len(inline_runs(text)) if k != "code" else 1) for n, (k, level, text) in enumerate(found)]
-            types = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
+                for n, (k, level, text) in enumerate(found):
+                    runs = [("code", text, "")] if k == "code" else inline_runs(text)
+                    rows.append((n, k, level, text, len(runs), [dict(zip(("style", "text", "target"), r)) for r in runs]))
+            run_type = pa.list_(pa.struct([(c, pa.string()) for c in ("style", "text", "target")]))
+            types = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), run_type)
             columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *columns], names=schema.names)
 

@@ -124,3 +124,23 @@ def test_markdown_blocks():
 def test_sanitise():
     assert markdown.sanitise("<em>x</em> \\_y\\_ **open") == "*x* _y_ open"
     assert "javascript" not in markdown.sanitise("[a](javascript:alert(1))")
+
+
+def test_deep_and_unclosed_pages_are_walked():
+    for page in ("<b>" * 3000 + "bold", "<div>" * 3000 + "<p>deep</p>", "<p>" + "<span>" * 2000 + "x" + "<p>y</p>", "<ul><li>" * 1500 + "item", "<blockquote>" * 1500 + "q", "<table><tr><td>" * 900 + "cell"):
+        clean, md, _ = htmlclean.clean_page(page)
+        assert clean and md
+    assert htmlclean.clean_page("<p>a <b>b</p><p>c</p>")[1] == "a **b**\n\nc"
+    many = "<p>x" + "<i>" * 50 + "y</p>" + "<p>plain</p>"
+    assert htmlclean.clean_page(many)[1].endswith("plain")
+
+
+def test_content_class_holds_the_content():
+    page = "<div class='side'><p>" + "menu " * 50 + "</p></div><div class='x post-content'><p>The text.</p></div>"
+    assert htmlclean.clean_page(page)[1] == "The text."
+
+
+def test_code_is_left_as_it_is():
+    md = "<b>x</b>\n```\nvector<int> a; **p\n&amp; \\_\n```\nuse `map<k, v>` and **open"
+    assert markdown.sanitise(md) == "**x**\n```\nvector<int> a; **p\n&amp; \\_\n```\nuse `map<k, v>` and open"
+    assert markdown.blocks(markdown.sanitise(md))[1] == ("code", 0, "vector<int> a; **p\n&amp; \\_")
