@@ -36,9 +36,15 @@ RULES = NoiseRules(
     drop=(
         "(?i)follow us (?:for|on)", "(?i)sign up for our", "(?i)share this (?:piece|post|article)", "(?i)all rights reserved", "(?i)abonnieren sie", "(?i)partager cet article", "(?i)comparte esta entrada",
         "点一?下?.{0,8}(?:分享|关注)", "长按.{0,8}(?:识别|订阅)", "扫.{0,6}码.{0,8}(?:关注|领取)", "未经.{0,8}(?:许可|授权).{0,12}(?:转载|复制)", "(?:原创|首发).{0,10}转载请注明", "点个赞|三连", "版权归.{0,12}所有", "举报这篇",
+        # calls to follow, share, join and pay
+        "点击.{0,12}关注", "欢迎.{0,6}关注", "(?:有用|不错|帮助).{0,16}(?:点赞|在看|转发)", "点赞.{0,10}(?:收藏|关注)", "(?:首发|原创)(?:于|自).{0,20}(?:公众号|专栏|博客|社区)", "扫码.{0,12}(?:回复|获取|领取)", "回复.{0,12}即可(?:获取|领取)", "商务(?:合作|联系)", "加.{0,4}微信.{0,8}(?:进群|入群)|入.{0,6}交流群",
+        # rights
+        "^版权声明[:：]", "禁止.{0,4}转载", "著作权.{0,12}所有",
+        # counters and tools of blog pages
+        "^分享(?:到)?[:：]?$", "^(?:喜欢|推荐|阅读|收藏|评论)[ (（:：]{0,2}[0-9]+[)）]?$", "^阅读[|┊｜]", "[|┊｜] ?打印", "^打印(?:本文|本页)?$", "举报/|^举报$", "^加载中", "^字体(?:大小)?[:：]", r"^顶 ?\([0-9]+\)", r"\(javascript:", r"#(?:write|comment)\)$", "^赠?金笔$", "^[•·] ?(?:博客|荣誉|获赠|赠出).{0,8}[:：]",
     ),
-    stop=("^(?:上|下)一篇[:：]", "(?i)^copyright ©", "^相关推荐$", "(?i)^related posts$"),
-    words=("关注", "二维码", "交流群", "订阅", "读者群"),
+    stop=("^(?:上|下|前|后)一篇[:：]", "(?i)^copyright ©", "^相关推荐$", "(?i)^related posts$", "意见反馈.{0,4}留言", "^.{0,12}版权所有$"),
+    words=("关注", "在看", "二维码", "交流群", "订阅", "读者群"),
 )
 
 

@@ -25,21 +25,57 @@ def element_text(html: Column, tag: str) -> Column:
     return F.nullif(squeeze(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", "")), F.lit(""))
 
 
+def script_text(html: Column, name: str) -> Column:
+    """A quoted text variable of a page's script, references resolved; NULL if blank or absent."""
+    raw = F.regexp_extract(html, rf"""(?s)\bvar\s+{name}\s*=\s*(?:'([^'\n]*)'|"[^"\n]*")""", 1)
+    other = F.regexp_extract(html, rf"""(?s)\bvar\s+{name}\s*=\s*"([^"\n]*)\"""", 1)
+    return F.nullif(trim_ws(resolved(F.coalesce(F.nullif(raw, F.lit("")), other))), F.lit(""))
+
+
+def resolved(text: Column) -> Column:
+    """The five references of markup and the blank as characters."""
+    for ref, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(ref), F.lit(ch))
+    return text
+
+
+def element_by_id(html: Column, name: str) -> Column:
+    """Text of the element of an id, up to its first end tag; NULL if blank or absent."""
+    inner = F.regexp_extract(html, rf"""(?is)<[a-z0-9]+[^>]*\bid=["']{name}["'][^>]*>(.*?)</""", 1)
+    return F.nullif(squeeze(resolved(F.regexp_replace(inner, "<[^>]*>", ""))), F.lit(""))
+
+
+def element_by_class(html: Column, name: str) -> Column:
+    """Text of the first element of a class, up to its first end tag; NULL if blank or absent."""
+    inner = F.regexp_extract(html, rf"""(?is)<[a-z0-9]+[^>]*\bclass=["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["'][^>]*>(.*?)</""", 1)
+    return F.nullif(squeeze(resolved(F.regexp_replace(inner, "<[^>]*>", ""))), F.lit(""))
+
+
+def script_time(html: Column) -> Column:
+    """Publication time of a script's epoch second, on the clock of China, to the minute; NULL if there is none."""
+    found = [F.regexp_extract(html, rf"""\bvar\s+{name}\s*=\s*["']?([0-9]{{10}})""", 1).try_cast("long") for name in ("ct", "oriCreateTime")]
+    local = F.timestamp_seconds(F.coalesce(*found) + F.lit(8 * 3600))
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm")
+
+
 def page_title(html: Column) -> Column:
-    """Title: og:title, the first heading, or the title element without the site's name."""
+    """Title: og:title, a script's variable, the first heading, or the title element without the site's name."""
     page = element_text(html, "title")
     cut = F.nullif(trim_ws(F.split_part(F.split_part(page, F.lit(" - "), F.lit(1)), F.lit(" | "), F.lit(1))), F.lit(""))
-    return F.coalesce(meta_content(html, "property", "og:title"), element_text(html, "h1"), cut)
+    return F.coalesce(meta_content(html, "property", "og:title"), script_text(html, "msg_title"), element_text(html, "h1"), cut)
 
 
 def page_author(html: Column) -> Column:
-    return F.coalesce(meta_content(html, "property", "og:article:author"), meta_content(html, "name", "author"))
+    """Author: two meta elements, the element that names the account, or a script's variable."""
+    return F.coalesce(
+        meta_content(html, "property", "og:article:author"), meta_content(html, "name", "author"), element_by_id(html, "js_name"), element_by_class(html, "profile_nickname"), script_text(html, "nickname")
+    )
 
 
 def page_time(html: Column) -> Column:
-    """Publication time of three meta elements, to the minute."""
+    """Publication time of three meta elements, a script's epoch second, or the element that shows it, to the minute."""
     found = F.coalesce(meta_content(html, "property", "article:published_time"), meta_content(html, "name", "pubdate"), meta_content(html, "name", "publishdate"))
-    return F.replace(F.substring(found, 1, 16), F.lit("T"), F.lit(" "))
+    return F.coalesce(F.replace(F.substring(found, 1, 16), F.lit("T"), F.lit(" ")), script_time(html), element_by_id(html, "publish_time"))
 
 
 def script_number(html: Column, name: str) -> Column:
@@ -134,8 +170,10 @@ def is_truncated(html: Column) -> Column:
 
 
 def replace_variants(html: Column, url: Column, to: Column) -> Column:
-    """A URL replaced as written and with its '&' escaped."""
-    return F.replace(F.replace(html, F.replace(url, F.lit("&"), F.lit("&amp;")), to), url, to)
+    """A URL replaced as written, with its '&' escaped, and with its escaped characters decoded."""
+    decoded = F.coalesce(F.try_url_decode(url), url)
+    out = F.replace(F.replace(html, F.replace(url, F.lit("&"), F.lit("&amp;")), to), url, to)
+    return F.when(decoded != url, F.replace(out, decoded, to)).otherwise(out)
 
 
 def sections_html(sections: Column) -> Column:

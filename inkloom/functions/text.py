@@ -204,3 +204,27 @@ def prefix_author(title: Column, author: Column, placeholders: tuple[str, ...])
     mark = F.concat(F.lit("["), author, F.lit("]"))
     wanted = author.isNotNull() & ~author.isin(*placeholders) & ~F.startswith(title, mark)
     return F.when(wanted, F.concat(mark, title)).otherwise(title)
+
+
+#: Longest title of a post, and what is kept of a longer one.
+POST_TITLE, POST_KEPT = 40, 38
+
+
+def post_title(line: Column, card: Column, is_article: Column, origin_user: Column, origin_title: Column, origin_text: Column, key: Column) -> Column:
+    """Title of a post that has none of its own: by what it quotes, its card, its first line, or its id.
+
+    A post that quotes another (``origin_user`` not NULL) names whom it quotes,
+    with the quoted title if there is one, else with its own first line or the
+    beginning of the quoted text.  The line that only says so is no line.
+    """
+    own, card = F.nullif(trim_ws(line), F.lit("")), F.nullif(trim_ws(card), F.lit(""))
+    # fixed values: the marks of a quoting post
+    quoted, only = F.concat(F.lit("转发@"), origin_user, F.lit(": ")), F.lit("转发微博")
+    whole = trim_ws(F.regexp_replace(F.coalesce(origin_text, F.lit("")), "<[^>]*>", ""))
+    quoting = (
+        F.when(F.nullif(trim_ws(origin_title), F.lit("")).isNotNull(), F.concat(quoted, origin_title))
+        .when(own.isNotNull() & (own != only), F.concat(own, F.lit(" // "), quoted, F.substring(whole, 1, 22)))
+        .otherwise(F.concat(quoted, F.substring(whole, 1, 25)))
+    )
+    plain = F.coalesce(F.when(F.coalesce(is_article, F.lit(False)), card), own, card, F.concat(F.lit("微博_"), key))
+    return shorten(F.when(origin_user.isNotNull(), quoting).otherwise(plain), POST_TITLE, keep=POST_KEPT)

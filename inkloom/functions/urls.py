@@ -89,3 +89,15 @@ def mime_of(content: Column) -> Column:
         .when(F.startswith(head, F.lit("3C737667")) | F.startswith(head, F.lit("3C3F786D6C")), "image/svg+xml")
         .otherwise("application/octet-stream")
     )
+
+
+def id_url(url: Column) -> Column:
+    """An article's address rebuilt from the number in it, on the site's main host; other addresses stay as they are, trimmed.
+
+    ``/p/7``, ``/read?id=7``, ``/article/7.html``, ``/post/a7/`` and ``/7`` of
+    the main and the mobile host are one article.
+    """
+    bare = F.regexp_replace(F.trim(url), "^(?:[a-z]+:)?//", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?#]+)", 1)), r"^(?:www|m)\.", "")
+    number = F.regexp_extract(bare, r"^[^/?#]+/(?:(?:p|post|article|read)(?:/|\?id=))?[a-z]?([0-9]+)(?:\.html)?/?(?:[&?#].*)?$", 1)
+    return F.when((host != "") & (number != ""), F.concat(F.lit("https://"), host, F.lit("/p/"), number)).otherwise(F.trim(url))

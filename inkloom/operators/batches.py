@@ -35,8 +35,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, by: list[str]
 
 
 def range_slice(df: DataFrame, order: str, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` (from 1) in ``order``; beyond the end there are none."""
-    return df.orderBy(order).limit(end).offset(max(start, 1) - 1)
+    """Rows ``start`` to ``end`` (from 1) in ``order``; beyond the end there are none.
+
+    The rows are cut by their positions, so a slice of any size stays spread.
+    """
+    return numbered(df, [order], "__position").filter(F.col("__position").between(max(start, 1), end)).drop("__position")
 
 
 def units(df: DataFrame, unit: str, order: list[Column | str], above: int, size: int) -> DataFrame:
@@ -48,13 +51,12 @@ def units(df: DataFrame, unit: str, order: list[Column | str], above: int, size:
 
 def collision_names(df: DataFrame, folder: list[str], name: str, order: list[Column | str]) -> DataFrame:
     """``name`` with ' (1)', ' (2)' from its second use in a folder."""
-    rn = F.row_number().over(Window.partitionBy(*folder, name).orderBy(*order))
-    return df.withColumn("__rn", rn).withColumn("name", F.concat(name, F.when(F.col("__rn") > 1, F.concat(F.lit(" ("), (F.col("__rn") - 1).cast("string"), F.lit(")"))).otherwise(F.lit("")))).drop("__rn")
+    return numbered(df, order, "__use", by=[*folder, name]).withColumn("name", F.concat(name, F.when(F.col("__use") > 1, F.concat(F.lit(" ("), (F.col("__use") - 1).cast("string"), F.lit(")"))).otherwise(F.lit("")))).drop("__use")
 
 
 def longest_runs(df: DataFrame, key: str, order: list[Column | str], condition: Column) -> DataFrame:
-    """``(key, longest)``: the longest run of rows that meet ``condition``, where there is any."""
-    flagged = df.withColumn("__c", condition)
-    apart = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - F.row_number().over(Window.partitionBy(key, "__c").orderBy(*order))
-    runs = flagged.withColumn("__g", apart).filter("__c").groupBy(key, "__g").agg(F.count(F.lit(1)).alias("__n"))
+    """``(key, longest)``: the longest run of rows that meet ``condition``, where there is any; a key of any size is spread."""
+    flagged = numbered(df.withColumn("__c", condition), order, "__all", by=[key])
+    own = numbered(flagged.filter("__c").select(key, "__all"), ["__all"], "__own", by=[key])
+    runs = own.groupBy(key, (F.col("__all") - F.col("__own")).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
     return runs.groupBy(key).agg(F.max("__n").alias("longest"))

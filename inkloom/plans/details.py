@@ -37,24 +37,37 @@ def account_listing(t) -> DataFrame:
     )
 
 
+#: Where pages of each platform hold their fields; '*' where no rule of the platform finds any.
 RULES = (
     rules.Rule("*", "headline", 1, r"(?is)<h1[^>]*>(.*?)</h1>"),
     rules.Rule("*", "headline", 2, r"(?is)<title[^>]*>(.*?)</title>"),
-    rules.Rule("zhihu", "byline", 1, r'(?is)<p class="meta">([^<·]*)·'),
+    *[rules.Rule(p, "byline", 1, r'(?is)<p class="meta">([^<·]*)·') for p in ("zhihu", "juejin", "csdn", "cnblogs", "wechat", "jianshu", "sohu", "weibo", "baijiahao", "51cto", "sina")],
     rules.Rule("*", "byline", 2, r'(?is)<p class="meta">([^<]*)</p>'),
+    rules.Rule("*", "shown_time", 1, r'(?is)<p class="meta">[^<·]*·([^<·]*)'),
+    rules.Rule("*", "shown_time", 2, r'(?is)<(?:time|em)[^>]*>(.*?)</'),
+    rules.Rule("*", "trail", 1, r'(?is)<p class="crumb">(.*?)</p>'),
+    rules.Rule("*", "lead", 1, r'(?is)<div class="post-body">\s*(?:<[^>]*>\s*)*([^<]+)'),
+    rules.Rule("*", "lead", 2, r'(?is)<div class="pg">\s*(?:<[^>]*>\s*)*([^<]+)'),
+    rules.Rule("*", "lead", 3, r"(?is)<article[^>]*>\s*(?:<[^>]*>\s*)*([^<]+)"),
+    rules.Rule("*", "lead", 4, r"(?is)<main[^>]*>\s*(?:<[^>]*>\s*)*([^<]+)"),
+    rules.Rule("*", "lead", 5, r"(?is)<p[^>]*>([^<]+)"),
 )
+FIELDS = ("headline", "byline", "shown_time", "trail", "lead")
 
 
 def _rule_sql(p: str) -> str:
     return f"nullif({sql_squeeze(f'''regexp_replace(regexp_extract(content_html, '{p}', 1), '<[^>]*>', '', 'g')''')}, '')"
 
 
-@add(
-    f"""SELECT row_id, coalesce({_rule_sql(RULES[0].pattern)}, {_rule_sql(RULES[1].pattern)}) AS headline, coalesce(CASE WHEN platform = 'zhihu' THEN {_rule_sql(RULES[2].pattern)} END, {_rule_sql(RULES[3].pattern)}) AS byline FROM article_cache"""
-)
+def _field_sql(field: str) -> str:
+    own = sorted((r for r in RULES if r.field == field), key=lambda r: (r.priority, r.platform == "*"))
+    return "coalesce(" + ", ".join(_rule_sql(r.pattern) if r.platform == "*" else f"CASE WHEN platform = '{r.platform}' THEN {_rule_sql(r.pattern)} END" for r in own) + f", NULL) AS {field}"
+
+
+@add(f"SELECT row_id, {', '.join(map(_field_sql, FIELDS))} FROM article_cache")
 def fields_by_rules(t) -> DataFrame:
-    """Page fields by a rule table."""
-    return rules.extract(t("article_cache"), RULES, "content_html", "platform").select("row_id", "headline", "byline")
+    """Page fields by a rule table of all platforms."""
+    return rules.extract(t("article_cache"), RULES, "content_html", "platform").select("row_id", *FIELDS)
 
 
 @add("SELECT row_id, read_num AS reads, coalesce(like_count, 0) AS likes, coalesce(is_original, false) AS is_original FROM article_item WHERE read_num IS NOT NULL")
@@ -71,11 +84,11 @@ def layout_styles_stripped(t) -> DataFrame:
     return t("article_cache").select("row_id", pagemeta.strip_layout(F.col("content_html")).alias("flat"))
 
 
-@add("SELECT row_id, row_id % 3 = 0 AS is_cut FROM article_cache WHERE content_html IS NOT NULL")
+@add(r"""SELECT row_id, regexp_matches(content_html, '<a[^>]*>[^<]{0,4}(?:全文|展开|Read more|Continue reading)[^<]{0,4}</a>\s*(?:</[a-z]+>\s*)*$') AS is_cut, regexp_matches(rtrim(content_html), '</a>\s*(?:</[a-z]+>\s*)*$') AS ends_linked FROM article_cache WHERE content_html IS NOT NULL""")
 def truncated_texts(t) -> DataFrame:
-    """Texts that end in a link to their full version."""
-    end = F.when(F.col("row_id") % 3 == 0, F.lit('<a href="/x">全文</a></p> ')).otherwise(F.lit('<a href="/x">全文</a> more'))
-    return t("article_cache").filter("content_html is not null").select("row_id", pagemeta.is_truncated(F.concat("content_html", end)).alias("is_cut"))
+    """Pages that end in a link to their full version, and those that end in any link."""
+    html = F.col("content_html")
+    return t("article_cache").filter(html.isNotNull()).select("row_id", pagemeta.is_truncated(html).alias("is_cut"), F.rtrim(html).rlike(r"</a>\s*(?:</[a-z]+>\s*)*\z").alias("ends_linked"))
 
 
 @add("SELECT ord, replace(replace('<a href=\"' || replace(url || '&x=1', '&', '&amp;') || '\">' || url || '&x=1', replace(url || '&x=1', '&', '&amp;'), 'L'), url || '&x=1', 'L') AS html FROM list_meta WHERE url <> ''")
@@ -94,11 +107,13 @@ def sections_assembled(t) -> DataFrame:
     return t("article_item").filter("title is not null and images is not null").select("row_id", pagemeta.sections_html(sections).alias("html"))
 
 
-@add(f"SELECT row_id, {sql_trim('title')} AS decoded FROM article_cache WHERE title NOT LIKE '%\\%' AND NOT contains(title, '&') AND {sql_trim('title')} = title")
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace(title, '\\n', chr(10)), '\\r', chr(13)), '\\t', chr(9)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@add(f"SELECT row_id, {sql_trim(_UNESCAPED)} AS decoded FROM article_cache")
 def escapes_decoded(t) -> DataFrame:
-    """Script escapes resolved."""
-    rows = t("article_cache").filter(~F.col("title").contains("\\") & ~F.col("title").contains("&") & (text.trim_ws(F.col("title")) == F.col("title")))
-    return pagemeta.decode_escapes(rows.withColumn("e", F.concat(F.lit("\\x20\\n"), F.replace("title", F.lit(" "), F.lit("\\x20")), F.lit("\\t"))), id_col="row_id", text_col="e")
+    """Script escapes and references of titles resolved."""
+    return pagemeta.decode_escapes(t("article_cache"), id_col="row_id", text_col="title")
 
 
 @add(

@@ -85,15 +85,15 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys of a stream."""
     rows = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
-    return _finish(progress.distinct_stream(rows, ["user_id", "event_type"], "at", "3650 days").select("user_id", "event_type"), "append", "distinct")
+    return _finish(progress.distinct_stream(rows, ["user_id", "event_type"], "at", "1 day").select("user_id", "event_type"), "append", "distinct")
 
 
-@_add("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+@_add("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly windows of a stream, summed up by type."""
+    """Hourly windows of a stream by type."""
     rows = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
     w = _finish(progress.windowed(rows, "at", "1 day", "1 hour", None, ["event_type"], "value"), "complete", "windows")
-    return w.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @_add("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -103,5 +103,4 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = fresh_path(spark, "upsert"), fresh_path(spark, "upsert-state")
     query = rows.writeStream.foreachBatch(progress.keyed_upsert(out, F.col("user_id"), ["ts", "event_id"])).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{out}/v={last}").select("user_id", "event_id")
+    return progress.read_upserted(spark, out).select("user_id", "event_id")

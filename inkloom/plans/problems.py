@@ -10,11 +10,14 @@ from inkloom.session import fresh_path, table
 
 #: Zone in which the collector writes ``cached_at``.
 COLLECTOR_ZONE = "Asia/Shanghai"
+#: Setting that names a shared folder in which the dictionary of times is kept from run to run.
+DICTIONARY_CONF = "spark.inkloom.timeDictionary"
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "site")
-    dictionary = TimestampDictionary(spark, fresh_path(spark, "time-dictionary"))
+    kept = spark.conf.get(DICTIONARY_CONF, None)
+    dictionary = TimestampDictionary(spark, kept).open() if kept else TimestampDictionary(spark, fresh_path(spark, "time-dictionary"))
     cached = F.unix_seconds(F.to_utc_timestamp(F.try_to_timestamp("cached_at", F.lit("yyyy-MM-dd HH:mm:ss")), COLLECTOR_ZONE))
     parts = []
     for name, reference in (("article_cache", cached), ("article_item", F.unix_seconds(F.col("fetched_at").cast("timestamp")))):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkloom.plans import flagship as flagship_plan
-from inkloom.plans import details, flows, htmlplans, problems, relational, rendering, texts
+from inkloom.plans import details, flows, htmlplans, listings, problems, relational, rendering, texts
 
-_MODULES = [texts, relational, rendering, htmlplans, flows, details]
+_MODULES = [texts, relational, rendering, htmlplans, flows, details, listings]
 
 
 def queries() -> dict:

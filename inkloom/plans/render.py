@@ -106,3 +106,33 @@ def unit_documents(rows: DataFrame, unit: list[str], order: str, section: str, h
         raise ValueError(f"a unit has {largest} rows, more than {max_rows}: cut units into parts first")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, section))), lambda x: x[section]), "\n\n")
     return rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("n_articles"), joined.alias("document"))
+
+
+def contents_line(number: Column) -> Column:
+    """An article's entry in the contents of a merged document: a link to its anchor, with its time."""
+    shown = F.concat(number.cast("string"), F.lit(". "), text.escape_brackets(F.coalesce("title", F.lit(""))))
+    when = F.nullif(text.trim_ws(F.col("publish_time")), F.lit(""))
+    return F.concat(F.lit("- ["), shown, F.lit("](#"), section_anchor(number), F.lit(")"), F.when(when.isNotNull(), F.concat(F.lit(" `("), when, F.lit(")`"))).otherwise(F.lit("")))
+
+
+def section_anchor(number: Column) -> Column:
+    return text.anchor(F.concat(number.cast("string"), F.lit("-"), F.coalesce("title", F.lit(""))))
+
+
+def merged_markdown(rows: DataFrame, unit: list[str], number: str, head: Column, foot: str, max_rows: int = UNIT_ROWS) -> DataFrame:
+    """One Markdown document for each unit: head, contents with anchors, sections with counters and comments, foot.
+
+    ``rows`` are articles with a dense ``number`` in their unit.  Units over
+    ``max_rows`` must be cut first.
+    """
+    n = F.col(number)
+    comments = comment_lines()
+    section = F.concat_ws("\n\n", F.concat(F.lit('<a id="'), section_anchor(n), F.lit('"></a>')), markdown_section(n), F.nullif(F.coalesce(comments, F.lit("")), F.lit("")), F.lit(foot))
+    lines = rows.select(*unit, number, contents_line(n).alias("__line"), section.alias("__section"), head.alias("__head"))
+    largest = lines.groupBy(*unit).agg(F.max(number).alias("n")).agg(F.max("n")).head()[0] or 0
+    if largest > max_rows:
+        raise ValueError(f"a unit has {largest} rows, more than {max_rows}: cut units into parts first")
+    parts = lines.groupBy(*unit).agg(F.count(F.lit(1)).alias("n_articles"), F.first("__head").alias("__head"), F.sort_array(F.collect_list(F.struct(number, "__line", "__section"))).alias("__all"))
+    joined = lambda c, by: F.array_join(F.transform("__all", lambda x: x[c]), by)
+    document = F.concat_ws("\n\n", F.concat("__head", F.lit(" ("), F.col("n_articles").cast("string"), F.lit(")")), joined("__line", "\n"), F.lit("---"), joined("__section", "\n\n---\n\n"))
+    return parts.select(*unit, "n_articles", document.alias("document"))

@@ -35,14 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a folder of
-    this machine is used; it is then set on the context as well.
+    Only where the session names none and Spark runs on this machine alone, a
+    folder of this machine is used; it is then set on the context as well.  A
+    cluster without a shared folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="inkloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -51,10 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the shared folder and reading it back.
 
-    Unlike a local checkpoint the copy survives the loss of executors.
+    Unlike a local checkpoint the copy survives the loss of executors.  It is
+    removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkloom/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -63,4 +67,11 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/inkloom/{label}-{uuid.uuid4().hex}"
+    """A path of the shared folder that nobody uses, removed when the application ends."""
+    path = f"{shared_dir(spark)}/inkloom/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    # only paths that exist can be marked
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path

@@ -17,9 +17,10 @@ def read_relay(spark: SparkSession, path: str) -> DataFrame:
     is that of file and position.
     """
     rows = spark.read.schema(RELAY_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.monotonically_increasing_id()})
+    # a file's parts by where they begin, and in a part (one task) the order of its rows
+    rows = rows.withColumns({"__file": F.col("_metadata.file_path"), "__part": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
     good = rows.filter(F.col("_corrupt_record").isNull() & (F.trim("url") != ""))
-    return first_wins(good, [F.trim("url")], ["__file", "__at"]).drop("__file", "__at", "_corrupt_record")
+    return first_wins(good, [F.trim("url")], ["__file", "__part", "__at"]).drop("__file", "__part", "__at", "_corrupt_record")
 
 
 def usable(rows: DataFrame) -> DataFrame:

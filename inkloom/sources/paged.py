@@ -1,9 +1,10 @@
 """A paged listing as a Spark data source, for batches and for streams.
 
 Pages are JSON-lines files ``page-000001.jsonl`` of a folder, as a collector
-stores the answers of a paged interface.  A batch read has one partition a
-page; a stream's offset is the number of pages read, so a restarted query goes
-on where its checkpoint stands.
+stores the answers of a paged interface, in any file system that Arrow knows
+(local, hdfs://, s3://, gs://).  A batch read has one partition a page; a
+stream's offset is the number of pages read, so a restarted query goes on where
+its checkpoint stands.
 """
 
 from __future__ import annotations
@@ -16,21 +17,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 PAGE_SCHEMA = "page int, position int, id string, url string, title string"
 
 
+def _opened(path: str) -> tuple:
+    """The file system of a folder and the folder's name in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def _pages(path: str) -> list[int]:
-    import os
     import re
 
-    try:
-        names = os.listdir(path)
-    except FileNotFoundError:
-        return []
+    from pyarrow import fs
+
+    files, folder = _opened(path)
+    names = [x.base_name for x in files.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
     return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"page-(\d+)\.jsonl", n)))
 
 
 def _rows(path: str, page: int) -> Iterator[tuple]:
     import json
 
-    with open(f"{path}/page-{page:06d}.jsonl", encoding="utf-8") as f:
+    import io
+
+    files, folder = _opened(path)
+    with files.open_input_stream(f"{folder}/page-{page:06d}.jsonl") as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="\n") as f:
         for position, line in enumerate(f):
             try:
                 row = json.loads(line)
