@@ -26,8 +26,8 @@ from inkloom.session import written
 
 #: Pages from which the labelled table of blocks is made, at most.
 LABELLED_PAGES = 2500
-#: Most site names that are masked.
-MAX_SITES = 10_000
+#: Most site names that are masked (an automaton of them is broadcast).
+MAX_SITES = 1_000_000
 #: Share of the articles from which a repeated block's frequency is kept; at most (blocks a page) / SHARE are.
 SHARE = 0.0005
 #: Share of the articles from which a block of the labelled table that the extracted text holds is still no author's.
@@ -66,12 +66,24 @@ class SiteNames:
     """Site names, to be masked in blocks so that repeats are counted over sites."""
 
     def __init__(self, names: list[str]):
-        self.names = sorted({n.lower() for n in names if n and n.strip()}, key=len, reverse=True)
+        self.names = sorted({n.lower() for n in names if n and n.strip()})
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "_automaton": None}
 
     def shown_on(self, page: str) -> list[str]:
-        """The names a page holds: only these need to be looked for in its blocks."""
-        low = page.lower()
-        return [n for n in self.names if n in low]
+        """The names a page holds, longest first: only these need to be looked for in its blocks."""
+        if not self.names:
+            return []
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for n in self.names:
+                self._automaton.add_word(n, n)
+            self._automaton.make_automaton()
+        return sorted({n for _, n in self._automaton.iter(page.lower())}, key=lambda n: (-len(n), n))
 
 
 def masked(text: str, names: list[str]) -> str:

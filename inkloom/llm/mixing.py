@@ -11,16 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkloom.functions.batching import steps
 from inkloom.llm.tokens import DEFAULT_TOKENIZER, bpe
 from inkloom.session import written
 
 #: Hash bits of a document, and bits refined at a time.
 HASH_BITS, STEP_BITS = 60, 10
-#: Most sources a mix may name; their histogram (2**STEP_BITS buckets each) is read by the driver.
+#: Sources up to this number are broadcast; more are joined by shuffle.
 MAX_SOURCES = 10_000
 
 
@@ -39,16 +40,15 @@ def token_counts(docs: DataFrame, targets: DataFrame, *, id_col: str, text_col:
     """``(id, source, hash, n_tokens)`` of the documents whose source is in the mix."""
     slim = docs.select(F.col(id_col).alias("__id"), source_name(F.col(source_col)).alias("__source"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     wanted = _targets(targets).select(F.col("source").alias("__source"))
-    if wanted.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"a mix names at most {MAX_SOURCES} sources")
-    slim = slim.join(F.broadcast(wanted), "__source", "left_semi")
+    few = wanted.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
+    slim = slim.join(F.broadcast(wanted) if few else wanted, "__source", "left_semi")
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__id").cast("string")), 64 - HASH_BITS)
     slim = slim.select("__id", "__source", hashed.alias("__hash"), "__text")
     schema = T.StructType([slim.schema["__id"], slim.schema["__source"], T.StructField("__hash", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe(tokenizer_path).encode_ordinary
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole, [3], 5000)):
             sizes = pa.array([len(encode(t)) for t in batch.column(3).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sizes], names=schema.names)
 
@@ -57,7 +57,11 @@ def token_counts(docs: DataFrame, targets: DataFrame, *, id_col: str, text_col:
 
 
 def _thresholds(counts: DataFrame, rest: dict[str, float]) -> dict[str, int]:
-    """For each source the threshold below which its tokens come nearest to ``rest``."""
+    """For each source the threshold below which its tokens come nearest to ``rest``.
+
+    The histograms stay distributed: of each source only the bucket in which
+    its budget ends comes to the driver, and only that bucket is refined.
+    """
     spark = counts.sparkSession
     found: dict[str, int] = {}
     open_: dict[str, tuple[int, float]] = {s: (0, r) for s, r in rest.items()}
@@ -65,32 +69,29 @@ def _thresholds(counts: DataFrame, rest: dict[str, float]) -> dict[str, int]:
         if not open_:
             break
         shift = HASH_BITS - used
-        part = counts
+        at = spark.createDataFrame([(s, p, float(r)) for s, (p, r) in open_.items()], "source string, prefix long, rest double")
+        at = F.broadcast(at) if len(open_) <= MAX_SOURCES else at
+        part = counts.join(at, "source")
         if used > STEP_BITS:
-            at = spark.createDataFrame([(s, p) for s, (p, _) in open_.items()], "source string, prefix long")
-            part = counts.join(F.broadcast(at), "source").filter(F.shiftright("hash", shift + STEP_BITS) == F.col("prefix"))
-        else:
-            part = counts.filter(F.col("source").isin(list(open_)))
-        sums = part.groupBy("source", F.shiftright("hash", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-        by_source: dict[str, list] = {}
-        for r in sums.collect():
-            by_source.setdefault(r["source"], []).append((r["b"], r["t"], r["n"]))
+            part = part.filter(F.shiftright("hash", shift + STEP_BITS) == F.col("prefix"))
+        sums = part.groupBy("source", "rest", F.shiftright("hash", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        # at most 2**STEP_BITS buckets a source
+        reached = sums.withColumn("upto", F.sum("t").over(Window.partitionBy("source").orderBy("b")))
+        over = reached.filter(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min(F.struct("b", "n", "t", "upto")).alias("e"))
+        edges = {r["source"]: r["e"] for r in over.collect()}
         for source, (prefix, left) in list(open_.items()):
-            edge = None
-            for b, t, n in sorted(by_source.get(source, [])):
-                if t > left:
-                    edge = (b, n, t)
-                    break
-                left -= t
+            edge = edges.get(source)
             if edge is None:  # everything in reach fits
                 found[source] = (prefix + 1) << (shift + STEP_BITS) if used > STEP_BITS else 1 << HASH_BITS
                 del open_[source]
-            elif edge[1] == 1 or shift == 0:
+                continue
+            left -= edge["upto"] - edge["t"]
+            if edge["n"] == 1 or shift == 0:
                 # one document (or equal hashes) is left on the edge: in if that comes nearer
-                found[source] = (edge[0] + (edge[2] - left < left)) << shift
+                found[source] = (edge["b"] + (edge["t"] - left < left)) << shift
                 del open_[source]
             else:
-                open_[source] = (edge[0], left)
+                open_[source] = (edge["b"], left)
     return found
 
 
@@ -132,7 +133,8 @@ def _plan_frame(counts: DataFrame, plan: list[dict]) -> DataFrame:
 
 
 def _copies(counts: DataFrame, plan: DataFrame) -> DataFrame:
-    by_plan = counts.join(F.broadcast(plan.select("source", "passes", "threshold")), "source")
+    slim = plan.select("source", "passes", "threshold")
+    by_plan = counts.join(F.broadcast(slim) if slim.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else slim, "source")
     copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("int")
     return by_plan.withColumn("copies", copies).drop("passes", "threshold", "hash").filter(F.col("copies") > 0)
 
@@ -150,7 +152,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, id_col: str, text_col: str, sour
     plan = _plan_frame(counts, plan_mix(counts, targets, total_tokens))
     chosen = _copies(counts, plan)
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"))
-    both = plan.join(F.broadcast(used), "source", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+    both = plan.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
     all_used = both.agg(F.sum("used").alias("all_used"))
     report = both.join(F.broadcast(all_used), F.lit(True))  # one row beside each
     report = report.select(
