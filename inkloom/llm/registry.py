@@ -56,6 +56,15 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_excess_lines(docs, lines.excess_lines(docs, **_LINES), **_LINES).select("row_id", "platform", "content_markdown")
 
 
+def p4_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the lines that stand in ten articles of a platform pass the test, within and below the limit of 2 %."""
+    tests = lines.excess_lines(table(spark, sf_dir, "article_cache"), below_limit=True, **_LINES)
+    within = F.col("n_rows") >= F.col("n_source_rows") * lines.MIN_SHARE
+    return tests.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_tested"), F.count_if("significant").alias("n_significant"), F.count_if(within).alias("n_within"), F.count_if(within & F.col("significant")).alias("n_both"), F.round(F.min(F.when(within, F.col("ratio"))), 2).alias("least_ratio_within")
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest natural unit that fits the limit everywhere, of each oversized article."""
     pieces = split.split_oversized(table(spark, sf_dir, "article_cache"), id_col="row_id", text_col="content_markdown")
@@ -149,7 +158,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_statistics(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p5_found, p5_pieces, p5_tokens, p6_found, p7_found, p7_groups, p8_found, p8_edits, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_text, p3_found, p3_restored, p4_found, p4_cleaned, p4_tests, p5_found, p5_pieces, p5_tokens, p6_found, p7_found, p7_groups, p8_found, p8_edits, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 _SAME_LINES = """
 WITH lines AS (
   SELECT row_id, platform, unnest(string_split(content_markdown, chr(10))) AS line,
@@ -181,7 +190,17 @@ n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id),
 c AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
 SELECT row_a, row_b FROM c JOIN n x ON x.row_id = row_a JOIN n y ON y.row_id = row_b WHERE k / (x.n + y.n - k) >= 0.7"""
 
+_COMPONENTS = (
+    _SIMILAR.replace("WITH d AS", "WITH RECURSIVE d AS")
+    .replace("SELECT row_a, row_b FROM c JOIN", ", p AS (SELECT row_a, row_b FROM c JOIN")
+    .replace(">= 0.7", ">= 0.7)")
+    + """, e AS (SELECT row_a AS a, row_b AS b FROM p UNION SELECT row_b, row_a FROM p),
+r AS (SELECT row_id, row_id AS g FROM n UNION SELECT e.b AS row_id, r.g FROM r JOIN e ON e.a = r.row_id)
+SELECT row_id, min(g) AS group_id FROM r GROUP BY row_id"""
+)
+
 SQL: dict[str, str] = {
+    "p7_groups": _COMPONENTS,
     "p7_found": _SIMILAR,
     "p5_found": _UNITS,
     "p4_found": _SAME_LINES + "SELECT row_id, CAST(line_no AS BIGINT) AS line_no FROM keyed SEMI JOIN excess USING (platform, k)",
