@@ -144,7 +144,8 @@ def embed(codes: np.ndarray, starts: np.ndarray, sch: Scheme) -> np.ndarray:
         key = keys[r]
         sampled = set(wanted[r].tolist())
         for step in range(int(wanted[r].max()) + 1):
-            char = np.where(at < end, padded[np.minimum(at, len(codes))], np.uint64(0))
+            # a walk cannot have left its window before it has made as many steps
+            char = padded[at] if step < sch.window else np.where(at < end, padded[np.minimum(at, len(codes))], np.uint64(0))
             if step in sampled:
                 key ^= char + np.uint64(step + 1)
                 key *= _MULT
@@ -223,23 +224,40 @@ class ItemIndex:
                             equal[d, i] = run
         return [(d, i, size, begin, equal.get((d, i), 0)) for (d, i), (size, begin) in best.items()]
 
-    def _may_hold(self, codes: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, offset: np.ndarray, sch: Scheme) -> np.ndarray:
-        """Which aligned windows may lie in a passage: around them some ``run`` characters of the text, all but
-        ``max_edits``, equal the item's on a diagonal that many edits can reach.  No true passage is left out.
-        """
+    def _equal(self, codes: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, offset: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Which characters at ``around`` from aligned windows equal the item's on a diagonal that the edits can reach."""
         e = self.max_edits
-        around = np.arange(-(sch.run - sch.window) - e, sch.run + e)
         place = at[:, None] + around
         inside = (place >= begin[:, None]) & (place < (begin + size)[:, None])
-        mine = np.where(inside, codes[np.clip(place, 0, len(codes) - 1)], 0)
+        # a place outside a text or an item equals nothing
+        mine = np.where(inside, codes[np.minimum(np.maximum(place, 0), len(codes) - 1)], 0)
+        first = offset[:, None] + around
+        start, whole = self.starts[owner][:, None], self.sizes[owner][:, None]
         equal = np.zeros(mine.shape, dtype=bool)
         for shift in range(-2 * e, 2 * e + 1):
-            there = offset[:, None] + around + shift
-            ok = (there >= 0) & (there < self.sizes[owner][:, None])
-            equal |= ok & (self.codes[np.clip(self.starts[owner][:, None] + there, 0, len(self.codes) - 1)] == mine)
-        sums = np.cumsum(equal & inside, axis=1)
-        sums[:, sch.run :] -= sums[:, : -sch.run].copy()
-        return sums[:, sch.run - 1 :].max(axis=1) >= sch.run - e
+            there = first + shift
+            ok = (there >= 0) & (there < whole)
+            equal |= ok & (self.codes[np.minimum(np.maximum(start + there, 0), len(self.codes) - 1)] == mine)
+        return equal & inside
+
+    def _may_hold(self, codes: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, offset: np.ndarray, sch: Scheme) -> np.ndarray:
+        """Which aligned windows may lie in a passage; no window of a true passage is left out.
+
+        A passage has half of its characters beyond the window on one side at
+        least, next to it, and all but ``max_edits`` of them equal the item's.
+        What passes is asked for a whole run of such characters.
+        """
+        e, side = self.max_edits, (sch.run - sch.window) // 2
+        beside = np.concatenate([np.arange(-side, 0), np.arange(sch.window, sch.window + side)])
+        near = self._equal(codes, at, begin, size, owner, offset, beside)
+        ok = np.maximum(near[:, :side].sum(axis=1), near[:, side:].sum(axis=1)) >= side - e
+        some = np.flatnonzero(ok)
+        if len(some):
+            around = np.arange(-(sch.run - sch.window) - e, sch.run + e)
+            sums = np.cumsum(self._equal(codes, at[some], begin[some], size[some], owner[some], offset[some], around), axis=1)
+            sums[:, sch.run :] -= sums[:, : -sch.run].copy()
+            ok[some] = sums[:, sch.run - 1 :].max(axis=1) >= sch.run - e
+        return ok
 
     def _extend(self, text: str, p: int, item: str, q: int, window: int) -> tuple[int, int, int, int]:
         """Around two aligned windows: the longest passage with at most ``max_edits`` edits (characters of the text, start), the equal run, and where that ends."""
