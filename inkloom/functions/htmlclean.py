@@ -44,6 +44,7 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    blocky: bool | None = None
 
 
 class _Builder(HTMLParser):
@@ -136,6 +137,13 @@ def _find(node: Node, tags: tuple[str, ...]) -> Node | None:
     return None
 
 
+def _has_block(node: Node) -> bool:
+    """Whether an element of block level is in a node; each node is looked at once."""
+    if node.blocky is None:
+        node.blocky = any(isinstance(c, Node) and (c.tag in _BLOCKS or _has_block(c)) for c in node.children)
+    return node.blocky
+
+
 def text_of(node: Node | str) -> str:
     return node if isinstance(node, str) else "".join(text_of(c) for c in node.children)
 
@@ -231,7 +239,7 @@ def to_markdown(node: Node, images: list[str], depth: int = 0) -> list[str]:
             out.append(text)
 
     for child in node.children:
-        if isinstance(child, str) or child.tag not in _BLOCKS and child.tag not in ("li", "tr", "figcaption", *FRAME) and not _find(child, tuple(_BLOCKS)):
+        if isinstance(child, str) or child.tag not in _BLOCKS and child.tag not in ("li", "tr", "figcaption", *FRAME) and not _has_block(child):
             line.append(_inline(child, images))
             continue
         flush()

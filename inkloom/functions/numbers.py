@@ -35,3 +35,19 @@ def declared_count(tab: Column) -> Column:
     unit = F.lower(F.regexp_extract(tab, r"([0-9][0-9,]*(?:\.[0-9]+)?)[ ]*([万kK]?)$", 2))
     value = F.replace(number, F.lit(","), F.lit("")).try_cast("decimal(20,4)")
     return F.when(value >= 1, F.floor(value * F.when(unit == "万", 10000).when(unit == "k", 1000).otherwise(1)).cast("long"))
+
+
+# Percent at which each phase of a task begins, and the span of the listing.
+LISTING_SPAN, WAITING, EXPORTING, MERGING, DONE = 75, 78, 82, 86, 100
+
+
+def progress_percent(phase: Column, i: Column, n: Column) -> Column:
+    """Percent of a task: listing counts items up to 75, then waiting, exporting (from 82 to 86 by formats), merging (to 99 by batches), done.
+
+    A phase without items is at its beginning; unknown phases are 0.
+    """
+    share = F.when(n > 0, F.least(F.greatest(i / n, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    span = lambda a, b: F.floor(F.lit(a) + share * (b - a))
+    return (
+        F.when(phase == "listing", span(0, LISTING_SPAN)).when(phase == "waiting", F.lit(WAITING)).when(phase == "exporting", span(EXPORTING, MERGING)).when(phase == "merging", span(MERGING, DONE - 1)).when(phase == "done", F.lit(DONE)).otherwise(0)
+    ).cast("int")

@@ -159,9 +159,14 @@ def engagement(script: Column) -> Column:
     return F.struct(*[script_number(script, n).alias(n) for n in names], (script_number(script, "copyright_stat") == 1).alias("is_original"))
 
 
+#: Styles that take an element out of the flow, and classes of elements that a platform lays over its text.
+LAYOUT_STYLES = r"(?i)(?:(?:position|float|z-index|transform)\s*:|(?:margin|top|left|right|bottom)(?:-[a-z]+)?\s*:\s*-)[^;\"']*;?"
+LAYOUT_CLASSES = r"(?i)(class=[\"'][^\"']*?)\b(?:sticky|floating|overlay|fixed-bar|toolbar)\b"
+
+
 def strip_layout(html: Column) -> Column:
-    """No inline styles that take elements out of the flow."""
-    return F.regexp_replace(html, r"(?i)(?:position|float|z-index|transform)\s*:[^;\"']*;?", "")
+    """No inline styles and classes that take elements out of the flow, nor negative margins and offsets."""
+    return F.regexp_replace(F.regexp_replace(html, LAYOUT_STYLES, ""), LAYOUT_CLASSES, "$1")
 
 
 def is_truncated(html: Column) -> Column:

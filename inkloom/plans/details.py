@@ -78,7 +78,10 @@ def script_counters(t) -> DataFrame:
     return rows.select("row_id", F.col("e.read_num").alias("reads"), F.col("e.like_count").alias("likes"), "e.is_original")
 
 
-@add(r"""SELECT row_id, regexp_replace(content_html, '(?i)(?:position|float|z-index|transform)\s*:[^;\"'']*;?', '', 'g') AS flat FROM article_cache""")
+_Q = "'"
+
+
+@add(f"SELECT row_id, regexp_replace(regexp_replace(content_html, '{pagemeta.LAYOUT_STYLES.replace(_Q, _Q * 2)}', '', 'g'), '{pagemeta.LAYOUT_CLASSES.replace(_Q, _Q * 2)}', '\\1', 'g') AS flat FROM article_cache")
 def layout_styles_stripped(t) -> DataFrame:
     """Pages without styles that break the flow."""
     return t("article_cache").select("row_id", pagemeta.strip_layout(F.col("content_html")).alias("flat"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.functions import text, urls
+from inkloom.functions import markdown, numbers, text, urls
 from inkloom.operators import batches, paging, reconcile
 from inkloom.plans import render
 from inkloom.plans.catalogue import Catalogue, sql_trim
@@ -154,3 +154,30 @@ def merged_documents(t) -> DataFrame:
     head = F.concat(F.lit("# "), F.coalesce("platform", F.lit("")))
     made = render.merged_markdown(rows, ["platform", "part"], "number", head, "> end")
     return made.select("platform", "part", "n_articles", F.md5("document").alias("document_md5"))
+
+
+@add(
+    """WITH p AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    q AS (SELECT *, CASE event_type WHEN 'view' THEN 'listing' WHEN 'click' THEN 'exporting' WHEN 'cart' THEN 'merging' WHEN 'purchase' THEN 'done' ELSE 'waiting' END AS phase FROM p)
+    SELECT event_id, CAST(CASE phase WHEN 'listing' THEN floor(i / n * 75) WHEN 'waiting' THEN 78 WHEN 'exporting' THEN floor(82 + i / n * 4) WHEN 'merging' THEN floor(86 + i / n * 13) ELSE 100 END AS INTEGER) AS percent FROM q"""
+)
+def progress_percents(t) -> DataFrame:
+    """Percent of each frame of a task: events stand for frames, their types for phases."""
+    e = t("events").select("event_id", "event_type", "user_id", "ts")
+    totals = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = batches.numbered(e, ["ts", "event_id"], "i", by=["user_id"]).join(totals, "user_id")
+    kind = F.col("event_type")
+    phase = F.when(kind == "view", "listing").when(kind == "click", "exporting").when(kind == "cart", "merging").when(kind == "purchase", "done").otherwise("waiting")
+    return rows.select("event_id", numbers.progress_percent(phase, F.col("i"), F.col("n")).alias("percent"))
+
+
+@add(
+    r"""WITH l AS (SELECT row_id, unnest(string_split(replace(content_markdown, chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(1, len(string_split(content_markdown, chr(10))) + 1)) AS i FROM article_cache),
+    f AS (SELECT *, sum(CASE WHEN starts_with(trim(line, ' ' || chr(9) || chr(13)), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY i) AS fences FROM l)
+    SELECT row_id, CAST(length(regexp_extract(trim(line, ' ' || chr(9) || chr(13)), '^(#{1,6})[ 	]', 1)) AS INTEGER) AS level, count(*) AS n FROM f WHERE fences % 2 = 0 AND regexp_matches(trim(line, ' ' || chr(9) || chr(13)), '^#{1,6}[ 	]+\S') GROUP BY ALL"""
+)
+def markdown_headings(t) -> DataFrame:
+    """Headings of each Markdown body by level, code left out, from its blocks."""
+    found = markdown.markdown_blocks(t("article_cache"), id_col="row_id", text_col="content_markdown").filter("kind = 'heading'")
+    return found.groupBy("row_id", "level").agg(F.count(F.lit(1)).alias("n"))
+

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkloom.functions import noise, pagemeta, text, urls
+from inkloom.functions import noise, numbers, pagemeta, text, urls
 from inkloom.operators import batches, paging, reconcile
 from inkloom.operators.timestamps import TimestampDictionary
 from inkloom.plans import problems, render
@@ -135,3 +135,14 @@ def test_the_dictionary_of_times_is_kept_from_run_to_run(spark, smallest):
         assert once == again and size and after.entries().count() == size and after.batches == 2 * batches_
     finally:
         spark.conf.unset(problems.DICTIONARY_CONF)
+
+
+def test_progress(spark):
+    rows = [("listing", 1, 2, 37), ("listing", 0, 0, 0), ("listing", 9, 3, 75), ("waiting", 1, 1, 78), ("exporting", 1, 2, 84), ("merging", 1, 1, 99), ("done", None, None, 100), (None, 1, 1, 0), ("other", 1, 1, 0)]
+    df = spark.createDataFrame(rows, "p string, i int, n int, want int")
+    assert all(r["want"] == r["got"] for r in df.select("want", numbers.progress_percent(F.col("p"), F.col("i"), F.col("n")).alias("got")).collect())
+
+
+def test_layout_of_pages(spark):
+    html = '<p style="margin-top:-9px;color:red" class="a sticky b">x</p><p style="margin: 4px">y</p>'
+    assert first(spark, pagemeta.strip_layout, html) == '<p style="color:red" class="a  b">x</p><p style="margin: 4px">y</p>'

@@ -46,8 +46,8 @@ def test_entry(spark):
 
 
 def test_no_python_in_sql_plans(spark, smallest):
-    # a JSON decoder, charsets the JVM function refuses, and HTML character references
-    python = {"embedded_json", "charset_decoded", "escapes_decoded"}
+    # a JSON decoder, charsets the JVM function refuses, HTML character references, and Markdown blocks
+    python = {"embedded_json", "charset_decoded", "escapes_decoded", "markdown_headings"}
     for name in sorted(set(SQL) & set(QUERIES) - python):
         if name.startswith("stream_") or name in ("relay_jsonl",):
             continue
