@@ -33,3 +33,22 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.format_string("%02d", "rn"), F.lit("_"), text.safe_filename(F.col("title"), limit=45), F.lit(".md")).alias("file_name"),
         render.manifest_line(F.col("rn")).alias("line"),
     )
+
+
+def catalogue_sql() -> str:
+    """The same for DuckDB, from the equivalents of its steps."""
+    from inkloom.plans.catalogue import sql_canonical, sql_trim
+    from inkloom.plans.relational import _PLACEHOLDERS, _VALID
+    from inkloom.plans.rendering import _SAFE, noise_sql
+    from inkloom.plans.texts import _HALF, _T, _TYPE
+
+    title = f"CASE WHEN length({_T}) % 2 = 1 AND substr({_T}, {_HALF} + 1, 1) = ' ' AND substr({_T}, 1, {_HALF}) = substr({_T}, {_HALF} + 2, {_HALF}) THEN substr({_T}, 1, {_HALF}) ELSE {_T} END"
+    return f"""WITH noise AS ({noise_sql()}),
+    v AS (SELECT row_id, platform, author, publish_time, url, cached_at, {sql_canonical('url')} AS address, {title} AS title, {_TYPE} AS kind FROM article_cache WHERE {_VALID}),
+    d AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY address ORDER BY cached_at DESC NULLS LAST, row_id) = 1),
+    a AS (SELECT platform, author, count(*) AS n, min(row_id) AS first FROM d WHERE author NOT IN {_PLACEHOLDERS} GROUP BY ALL),
+    t AS (SELECT platform, author AS top_author FROM a QUALIFY row_number() OVER (PARTITION BY platform ORDER BY n DESC, first) = 1),
+    n AS (SELECT d.*, row_number() OVER (PARTITION BY platform ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY platform) AS size FROM d)
+    SELECT n.platform, CAST(CASE WHEN size > 800 THEN (rn - 1) // 500 ELSE 0 END AS BIGINT) AS part, rn, n.row_id, address, kind, top_author, length(filtered) AS n_chars, printf('%02d', rn) || '_' || substr({_SAFE}, 1, 45) || '.md' AS file_name,
+    rn || '. ' || coalesce(title, '') || CASE WHEN nullif({sql_trim('publish_time')}, '') IS NOT NULL THEN ' (' || {sql_trim('publish_time')} || ')' ELSE '' END || ' - ' || trim(coalesce(url, '')) AS line
+    FROM n LEFT JOIN t USING (platform) JOIN noise ON noise.row_id = n.row_id"""

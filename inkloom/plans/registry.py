@@ -15,7 +15,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.C.sql.items()} | problems.SQL
+    return {name: sql for m in _MODULES for name, sql in m.C.sql.items()} | problems.SQL | {"flagship_catalogue": flagship_plan.catalogue_sql()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,13 +165,15 @@ def _q(p: str) -> str:
     return p.replace("'", "''")
 
 
-@add(
-    f"""WITH l AS (SELECT row_id, unnest(string_split(coalesce(content_markdown, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(content_markdown, ''), chr(10))))) AS i FROM article_cache),
+def noise_sql() -> str:
+    return f"""WITH l AS (SELECT row_id, unnest(string_split(coalesce(content_markdown, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(content_markdown, ''), chr(10))))) AS i FROM article_cache),
     s AS (SELECT row_id, min(i) AS stop FROM l WHERE regexp_matches({_BARE}, '{_q(_R.stop_pattern)}') GROUP BY row_id),
     k AS (SELECT l.row_id, {sql_trim("regexp_replace(string_agg(line, chr(10) ORDER BY i), '\\n{3,}', chr(10) || chr(10), 'g')")} AS kept FROM l LEFT JOIN s USING (row_id)
       WHERE (stop IS NULL OR i < stop) AND ({_BARE} = '' OR NOT (regexp_matches({_BARE}, '{_q(_R.drop_pattern)}') OR (length({_BARE}) < {_R.short} AND regexp_matches({_BARE}, '{_q(_R.word_pattern)}')))) GROUP BY l.row_id)
     SELECT a.row_id, coalesce(kept, '') AS filtered FROM article_cache a LEFT JOIN k ON k.row_id = a.row_id"""
-)
+
+
+@add(noise_sql())
 def noise_filter_lines(t) -> DataFrame:
     """Bodies without promotional lines."""
     return t("article_cache").select("row_id", noise.filter_noise(F.col("content_markdown")).alias("filtered"))
