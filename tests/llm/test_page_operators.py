@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkloom.llm import blocks, boilerplate, encoding, ngrams, residue
 
@@ -141,6 +142,17 @@ def test_residue_pages(site):
     assert residue.find_residue_pages(df.limit(0), **PAGE).count() == 0
 
 
+def test_pages_whose_extracted_text_is_missing_are_no_residue(site, spark):
+    df, pages = site
+    third = df.withColumn("md", F.when(F.col("id") % 3 != 0, F.col("md")))
+    got = {r["id"]: r["is_residue"] for r in residue.find_residue_pages(third, **PAGE).collect()}
+    assert all(not got[i] for i in range(120)) and all(got[200 + i] for i in range(len(BAD)))
+    found = {}
+    for r in boilerplate.main_blocks(third, spark.createDataFrame([("Some Site",)], "site_name string"), **PAGE).orderBy("id", "position").collect():
+        found.setdefault(r["id"], []).append(r["block"])
+    assert sum(found.get(i) != [t, *body] for i, (_, _, t, body) in enumerate(pages)) <= 2
+
+
 def test_sample_is_whole_beside_null_and_repeated_pages(spark):
     pages = [(f"page {i}", "text") for i in range(2000)]
     rows = [(None, "text")] * 1500 + [("", "text")] * 200 + [("no text", " ")] * 200 + [("copied", "text")] * 1500 + pages
@@ -180,8 +192,8 @@ def test_residue_notes(noted, spark):
 def test_reports_of_kinds_never_seen_are_no_residue(noted, spark):
     pages, notes = noted
     blank = [r["page"] for r in pages.filter("md = ''").collect() if r["page"]]
-    good = [r["page"] for r in pages.filter("length(md) > 0").collect()]
-    model = residue.NoteModel([n for _, n, _ in notes if n], blank, good)
+    good = [(r["page"], r["md"]) for r in pages.filter("length(md) > 0").collect()]
+    model = residue.NoteModel([n for _, n, _ in notes if n], residue.learnt([(h, m) for h, m in good], blank)["residue"])
     unseen = ["Sitzung abgelaufen, bitte neu anmelden", "thread pool exhausted", "quota exceeded for worker 12", "out of memory while parsing", "任务超时被终止", "proxy timeout", "cookie invalid", "no space left"]
     assert not any(residue.residue_notes(model, unseen))
     # numbers and repeats of what pages show
