@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkloom.plans.catalogue import Catalogue
 from inkloom.session import fresh_path, table
-from inkloom.sources import feeds, jsonl
+from inkloom.sources import feeds, jsonl, sinks
 from inkloom.streaming import progress
 
 C = Catalogue()
@@ -46,6 +46,22 @@ def relay_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+@_add(
+    """SELECT platform, format, count(*) AS n_articles FROM article_cache, (VALUES ('json'), ('text')) f(format) WHERE platform IS NOT NULL GROUP BY ALL"""
+)
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of each platform written as text and JSON folders, and counted from what was written."""
+    rows = table(spark, sf_dir, "article_cache").filter("platform is not null")
+    text, docs = fresh_path(spark, "archive-text"), fresh_path(spark, "archive-json")
+    named = rows.select("platform", "row_id", F.concat(F.lit("# "), F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " ")).alias("section"))
+    sinks.write_sections(named, text, "section", ["platform"], "row_id")
+    sinks.write_json(rows.select("platform", "row_id", "title", "url"), docs, ["platform"])
+    written_text = spark.read.option("lineSep", "\n\n").text(text).filter(F.startswith("value", F.lit("# "))).groupBy(F.col("platform").cast("string").alias("platform")).agg(F.count(F.lit(1)).alias("n_articles"))
+    written_json = spark.read.schema("row_id long, title string, url string, platform string").json(docs).groupBy("platform").agg(F.count(F.lit(1)).alias("n_articles"))
+    both = written_text.withColumn("format", F.lit("text")).unionByName(written_json.withColumn("format", F.lit("json")))
+    return both.select("platform", "format", "n_articles")
+
+
 @_add("SELECT album_id, title, url AS link FROM (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY title, url) AS rn FROM album WHERE title IS NOT NULL AND url IS NOT NULL) WHERE rn = 1")
 def atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of Atom feeds."""

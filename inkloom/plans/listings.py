@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.functions import markdown, numbers, text, urls
-from inkloom.operators import batches, paging, reconcile
+from inkloom.operators import batches, paging, reconcile, shape
 from inkloom.plans import render
 from inkloom.plans.catalogue import Catalogue, sql_trim
 from inkloom.plans.rendering import _ORIGIN, _STATS, _TAGS, _body
@@ -181,3 +181,38 @@ def markdown_headings(t) -> DataFrame:
     found = markdown.markdown_blocks(t("article_cache"), id_col="row_id", text_col="content_markdown").filter("kind = 'heading'")
     return found.groupBy("row_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
+
+@add(
+    f"""SELECT ord, nullif({sql_trim('id')}, '') AS id, coalesce(nullif({sql_trim('title')}, ''), nullif({sql_trim('excerpt')}, '')) AS title, nullif({sql_trim('url')}, '') AS url,
+    coalesce(nullif({sql_trim('publish_time')}, ''), CASE WHEN create_time IS NULL THEN '' WHEN regexp_full_match({sql_trim('create_time')}, '[0-9]{{10}}') THEN strftime(make_timestamp((CAST({sql_trim('create_time')} AS BIGINT) + 28800) * 1000000), '%Y-%m-%d %H:%M:%S') ELSE '' END) AS publish_time,
+    coalesce(read_num, 0) AS reads, coalesce(like_count, 0) AS likes, coalesce(comment_count, 0) AS comments FROM list_meta"""
+)
+def article_rows(t) -> DataFrame:
+    """Listed rows in the shape of articles, counters from a map."""
+    rows = t("list_meta").withColumn("_collector", F.lit("x"))
+    counters = {"reads": "read_num", "likes": "like_count", "comments": "comment_count"}
+    made = shape.article_rows(rows, key="ord", names={"id": ["id"], "title": ["title", "excerpt"], "url": ["url"]}, counters=counters, time="publish_time", epoch="create_time")
+    return made.select("ord", "id", "title", "url", "publish_time", *[F.col("counters")[c].alias(c) for c in counters])
+
+
+@add(
+    """WITH e AS (SELECT album_id, title, url FROM album WHERE article_count IS NOT NULL), n AS (SELECT album_id, min((title, url)) AS r FROM album WHERE article_count IS NULL AND album_id NOT IN (SELECT album_id FROM e) GROUP BY album_id)
+    SELECT album_id, title, url FROM e UNION ALL SELECT album_id, r[1], r[2] FROM n"""
+)
+def albums_appended(t) -> DataFrame:
+    """Counted albums and behind them those that were only seen without a count, by id."""
+    cols = ["album_id", "title", "url"]
+    return shape.appended(t("album").filter("article_count is not null").select(*cols), t("album").filter("article_count is null").select(*cols), "album_id")
+
+
+@add(
+    """SELECT platform, CAST(part AS BIGINT) AS part, count(*) AS n_articles, CAST(min(row_id) AS VARCHAR) AS first_id, CAST(max(row_id) AS VARCHAR) AS last_id FROM (SELECT row_id, platform, (row_number() OVER (PARTITION BY platform ORDER BY row_id) - 1) // 200 AS part FROM article_cache) GROUP BY ALL"""
+)
+def site_documents(t) -> DataFrame:
+    """Articles of each platform serialised as one JSON list for 200 of them, read back by position."""
+    rows = batches.units(t("article_cache").select("row_id", "platform", "title", "author", "publish_time", "url"), "platform", ["row_id"], above=0, size=200)
+    one = F.struct(F.col("row_id").alias("id"), "title", "author", "publish_time", F.trim("url").alias("url"))
+    lists = rows.groupBy("platform", "part").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("json"))
+    n = F.json_array_length("json")
+    last = F.element_at(F.from_json("json", "array<struct<id: string>>"), -1)["id"]
+    return lists.select("platform", "part", n.cast("long").alias("n_articles"), F.get_json_object("json", "$[0].id").alias("first_id"), last.alias("last_id"))

@@ -96,12 +96,16 @@ def link_list_tsv(t) -> DataFrame:
 
 
 @add(
-    """SELECT row_id, title, author, CASE WHEN is_failed THEN '失败' ELSE '成功' END AS status, CASE WHEN is_original THEN '原创' ELSE '' END AS original, read_num, trim(url) AS url FROM article_item"""
+    """SELECT row_id, row_number() OVER (PARTITION BY platform ORDER BY row_id) AS number, coalesce(title, '') AS title, coalesce(publish_time, '') AS publish_time, CASE WHEN NOT coalesce(is_failed, false) THEN '成功' ELSE coalesce(nullif(error_reason, ''), '失败') END AS status,
+    CASE WHEN is_original THEN '原创' ELSE '非原创' END AS original, coalesce(summary, '') AS summary, coalesce(url, '') AS url FROM article_item"""
 )
 def sheet_rows(t) -> DataFrame:
-    """Rows of the spreadsheet export."""
-    status = F.when(F.col("is_failed"), "失败").otherwise("成功")
-    return t("article_item").select("row_id", "title", "author", status.alias("status"), F.when(F.col("is_original"), "原创").otherwise("").alias("original"), "read_num", F.trim("url").alias("url"))
+    """Rows of the spreadsheet export: number in the platform, title, time, status with its reason, originality, summary, address."""
+    cols = ["row_id", "platform", "title", "publish_time", "is_failed", "error_reason", "is_original", "summary", "url"]
+    rows = batches.numbered(t("article_item").select(*cols), ["row_id"], "number", by=["platform"])
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    status = F.when(~F.coalesce("is_failed", F.lit(False)), "成功").otherwise(F.coalesce(F.nullif("error_reason", F.lit("")), F.lit("失败")))
+    return rows.select("row_id", "number", blank("title"), blank("publish_time"), status.alias("status"), F.when(F.col("is_original"), "原创").otherwise("非原创").alias("original"), blank("summary"), blank("url"))
 
 
 @add(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom.functions import noise, numbers, pagemeta, text, urls
-from inkloom.operators import batches, paging, reconcile
+from inkloom.operators import batches, paging, reconcile, shape
 from inkloom.operators.timestamps import TimestampDictionary
 from inkloom.plans import problems, render
 from inkloom.session import fresh_path, shared_dir
@@ -146,3 +146,12 @@ def test_progress(spark):
 def test_layout_of_pages(spark):
     html = '<p style="margin-top:-9px;color:red" class="a sticky b">x</p><p style="margin: 4px">y</p>'
     assert first(spark, pagemeta.strip_layout, html) == '<p style="color:red" class="a  b">x</p><p style="margin: 4px">y</p>'
+
+
+def test_shapes_of_rows(spark):
+    df = spark.createDataFrame([(1, " ", "x", None, "1700000000", None, "p"), (2, "a", None, " 2024 ", None, 5, "p"), (3, None, None, None, "soon", 1, None)], "k int, a string, b string, t string, e string, n int, _own string")
+    got = {r["k"]: r for r in shape.article_rows(df, key="k", names={"title": ["a", "b"]}, counters={"n": "n"}, time="t", epoch="e").collect()}
+    assert [(got[i]["title"], got[i]["publish_time"], got[i]["counters"]) for i in (1, 2, 3)] == [("x", "2023-11-15 06:13:20", {"n": 0}), ("a", "2024", {"n": 5}), (None, "", {"n": 1})]
+    assert shape.drop_private(df).columns == ["k", "a", "b", "t", "e", "n"]
+    old, new = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), spark.createDataFrame([(1, "c"), (2, "e"), (2, "d"), (None, "n")], "k int, v string")
+    assert sorted((str(r["k"]), r["v"]) for r in shape.appended(old, new, "k").collect()) == [("1", "a"), ("1", "b"), ("2", "d"), ("None", "n")]
