@@ -52,10 +52,13 @@ def test_salted_lookup_matches_a_plain_join(spark):
     assert got.filter("v is null or v <> concat('v', coalesce(k, 'null'))").count() == 0
 
 
-def test_names_have_a_checked_bound(spark):
-    names = spark.range(20).select(F.col("id").cast("string").alias("name"))
-    with pytest.raises(ValueError):
-        bridges.contains_either_way(spark.createDataFrame([("1",)], "q string"), names, "q", "name", max_names=10)
+def test_many_names_take_the_shuffle(spark):
+    names = spark.createDataFrame([(n,) for n in ("Ab", "abcd", "c", "", None, "数据库", "据", "x" * 300, "Ab")], "name string")
+    queries = spark.createDataFrame([(q, i) for i, q in enumerate(["ABC", "zabcdz", "", None, "大数据库", "xx", "b", "ABC"])], "q string, i int")
+    few = sorted((r["q"], r["i"], r["name"]) for r in bridges.contains_either_way(queries, names, "q", "name", max_names=100).collect())
+    many = sorted((r["q"], r["i"], r["name"]) for r in bridges.contains_either_way(queries, names, "q", "name", max_names=2).collect())
+    truth = sorted((q["q"], q["i"], n["name"]) for q in queries.collect() for n in names.collect() if q["q"] and n["name"] and (q["q"].lower() in n["name"].lower() or n["name"].lower() in q["q"].lower()))
+    assert few == many == truth and truth
 
 
 def test_relay_skips_bad_lines(spark, tmp_path):
