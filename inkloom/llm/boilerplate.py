@@ -42,8 +42,8 @@ FEATURES = (
 
 _SEPARATORS = re.compile(r"[|·›»•/]")
 _NAME = re.compile(r"(?<=[^\W_]) [A-ZÀ-Þ][\w’'-]+|[A-Za-z]+(?=[぀-鿿])|(?<=[぀-鿿])[A-Za-z]+")
-#: Longer blocks are no frames (offers, comments) that only a name tells apart.
-FRAME_CHARS = 80
+#: Longer blocks are a page's own text by which copies of it are known; keys of shorter ones are remembered.
+LONG_CHARS = 80
 _KINDS = {"td": 1, "li": 2, "h1": 3, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4, "blockquote": 5, "pre": 6, "title": 7, "nav": 8, "footer": 8, "aside": 8, "header": 8}
 
 
@@ -96,8 +96,8 @@ def masked(text: str, names: list[str]) -> str:
 
 
 def frame(text: str, names: list[str]) -> str:
-    """Letters of a short block without the proper names in it, '' for a long one."""
-    return "frame " + masked(_NAME.sub(" ", text), names) if len(text) <= FRAME_CHARS else ""
+    """Letters of a block without the proper names in it: of offers and comments that only a name tells apart."""
+    return "frame " + masked(_NAME.sub(" ", text), names)
 
 
 def _hash(key: str) -> int:
@@ -110,7 +110,7 @@ def page_keys(blocks: list[Block], page_names: list[str], known: dict) -> list[t
     out = []
     for b in blocks:
         t = b.text
-        short = len(t) <= FRAME_CHARS
+        short = len(t) <= LONG_CHARS
         got = known.get(t) if short else None
         if got is None:
             m = masked(t, page_names)
@@ -281,7 +281,7 @@ def article_keys(blocks: list[Block], title: str) -> tuple[int, int]:
 
     Too few long blocks may all be the site's: then all blocks count.  A page without title is known by its blocks.
     """
-    long_ = [b.text for b in blocks if len(b.text) > FRAME_CHARS]
+    long_ = [b.text for b in blocks if len(b.text) > LONG_CHARS]
     body = _hash("\n".join(sorted(long_ if len(long_) >= 3 else [b.text for b in blocks])))
     named = letters(title)
     return _hash("title " + named) if named else body, body
