@@ -41,7 +41,8 @@ FEATURES = (
 )
 
 _SEPARATORS = re.compile(r"[|·›»•/]")
-_NAME = re.compile(r"(?<=[^\W_]) [A-ZÀ-Þ][\w’'-]+|[A-Za-z]+(?=[぀-鿿])|(?<=[぀-鿿])[A-Za-z]+")
+#: Each word is looked at once, however long it is.
+_NAME = re.compile(r"(?<=[^\W_]) [A-ZÀ-Þ][\w’'-]+|(?<![A-Za-z])[A-Za-z]++(?=[぀-鿿])|(?<=[぀-鿿])[A-Za-z]+")
 #: Longer blocks are a page's own text by which copies of it are known; keys of shorter ones are remembered.
 LONG_CHARS = 80
 _KINDS = {"td": 1, "li": 2, "h1": 3, "h2": 4, "h3": 4, "h4": 4, "h5": 4, "h6": 4, "blockquote": 5, "pre": 6, "title": 7, "nav": 8, "footer": 8, "aside": 8, "header": 8}
