@@ -108,9 +108,13 @@ class _Builder(HTMLParser):
 
 
 def parse(page: str) -> Node:
+    """The tree of a page.  Behind the last '>' there is no markup: what stands there is text, however many tags it begins."""
     builder = _Builder()
-    builder.feed(page)
+    end = page.rfind(">") + 1
+    builder.feed(page[:end])
     builder.close()
+    if tail := page[end:].partition("<!--")[0]:
+        builder.handle_data(html.unescape(tail))
     return builder.root
 
 

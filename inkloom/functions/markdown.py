@@ -20,7 +20,7 @@ _IMAGE = re.compile(r"^!\[([^\]]*)\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)$")
 _RULE = re.compile(r"^(?:-{3,}|\*{3,}|_{3,})$")
 _SEPARATOR = re.compile(r"^\|?[-:| ]+\|?$")
 _INLINE = re.compile(
-    r"(?P<code>`[^`\n]+`)|(?P<both>\*\*\*[^*\n]+\*\*\*)|(?P<bold>\*\*[^*\n]+\*\*|__[^_\n]+__)|(?P<italic>\*[^*\n]+\*|(?<!\w)_[^_\n]+_(?!\w))|(?P<strike>~~[^~\n]+~~)|(?P<link>\[[^\]\n]+\]\([^)\s]+\))"
+    r"(?P<code>`[^`\n]+`)|(?P<both>\*\*\*[^*\n]+\*\*\*)|(?P<bold>\*\*[^*\n]+\*\*|__[^_\n]+__)|(?P<italic>\*[^*\n]+\*|(?<!\w)_[^_\n]+_(?!\w))|(?P<strike>~~[^~\n]+~~)|(?P<link>\[[^\[\]\n]+\]\([^)\s\[]+\))"
 )
 _WIDTH = {"code": 1, "both": 3, "bold": 2, "italic": 1, "strike": 2}
 #: Deepest indent that is told apart.
@@ -56,7 +56,7 @@ def _sanitised(lines: list[str]) -> list[str]:
     # every second part is a code span
     parts = _CODE_SPAN.split("\n".join(lines))
     md = "".join(x if i % 2 else _without_tags(x) for i, x in enumerate(parts))
-    md = re.sub(r"(?mi)^\s*\[toc\]\s*$", "", md)
+    md = re.sub(r"(?mi)^[ \t]*\[toc\][ \t\r]*$", "", md)
     return [line if _CODE_SPAN.sub("", line).count("**") % 2 == 0 else "".join(x if i % 2 else x.replace("**", "") for i, x in enumerate(_CODE_SPAN.split(line))) for line in md.split("\n")]
 
 
@@ -66,7 +66,7 @@ def _without_tags(md: str) -> str:
     md = re.sub(r"</?(?:strong|b)>", "**", md, flags=re.I)
     md = re.sub(r"</?(?:em|i)>", "*", md, flags=re.I)
     md = re.sub(r"<br\s*/?>", "\n", md, flags=re.I)
-    md = re.sub(r"</?[a-zA-Z][^>\n]*>", "", md)
+    md = re.sub(r"</?[a-zA-Z][^<>\n]*>", "", md)
     return re.sub(r"\\([\\`*_{}\[\]()#+.!|>~-])", r"\1", md)
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +146,17 @@ def test_code_is_left_as_it_is():
     md = "<b>x</b>\n```\nvector<int> a; **p\n&amp; \\_\n```\nuse `map<k, v>` and **open"
     assert markdown.sanitise(md) == "**x**\n```\nvector<int> a; **p\n&amp; \\_\n```\nuse `map<k, v>` and open"
     assert markdown.blocks(markdown.sanitise(md))[1] == ("code", 0, "vector<int> a; **p\n&amp; \\_")
+
+
+@pytest.mark.parametrize("page", ["<a href=" * 30_000, "\n" * 60_000, "\r\n \t" * 20_000, "[a](" * 30_000, "**a" * 20_000, "<" * 50_000, "`" * 50_000])
+def test_odd_texts_take_linear_time(page):
+    began = time.time()
+    htmlclean.clean_page(page)
+    markdown.blocks(markdown.sanitise(page))
+    markdown.inline_runs(page)
+    assert time.time() - began < 5
+
+
+def test_text_behind_the_last_tag():
+    assert htmlclean.clean_page("<p>a</p> b <c &amp; d")[1] == "a\n\nb <c & d"
+    assert htmlclean.clean_page("plain &lt; text")[1] == "plain < text" and htmlclean.clean_page("<p>a</p>x<!-- y")[1] == "a\n\nx"
