@@ -19,6 +19,13 @@ _MARKUP = re.compile(
 _WHITE = re.compile(r"[ \t\r\n]+")
 
 
+def _unclosed(markup: str, element: str | None) -> bool:
+    """Whether a comment, script or style goes on behind its match."""
+    if element:
+        return not re.search(rf"</{element}\s*>\Z", markup, re.I)
+    return markup.startswith("<!--") and not (markup.endswith("-->") and len(markup) >= 7)
+
+
 class Block(NamedTuple):
     text: str
     #: Block-level tag before the text, '/x' for an end tag, '' at the start of a page.
@@ -43,7 +50,11 @@ def parse_blocks(page: str) -> list[Block]:
     link = bold = at = 0
     in_link = in_bold = 0
     tag = inside = ""
-    for m in _MARKUP.finditer(page):
+    # behind the last '>' there is no markup but what an unclosed comment, script or style swallows
+    end = page.rfind(">") + 1
+    last = None
+    for m in _MARKUP.finditer(page, 0, end):
+        last = m
         start = m.start()
         if start > at:
             piece = page[at:start]
@@ -81,10 +92,15 @@ def parse_blocks(page: str) -> list[Block]:
             in_link = not m.group(2)
         elif name in ("b", "strong"):
             in_bold = not m.group(2)
-    if at < len(page):
-        buf.append(page[at:])
+    rest, comment, _ = page[at:].partition("<!--")
+    if last is not None and at == end and _unclosed(last.group(), last.group(1)):
+        rest = ""
+    if rest:
+        buf.append(rest)
         if in_link:
-            link += len(page) - at
+            link += len(rest)
+        if in_bold and comment:
+            bold += len(rest)
     if buf:
         text = _WHITE.sub(" ", html.unescape("".join(buf))).strip(" ")
         if text:

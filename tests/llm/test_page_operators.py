@@ -96,6 +96,21 @@ def test_blocks_of_malformed_markup():
     assert blocks.parse_blocks("") == [] and blocks.parse_blocks("<p> </p>") == []
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>a</p>b <c d", ["a", "b <c d"]), ("<p>a</p>b<!-- c", ["a", "b"]), ("<p>a<script>x > y", ["a"]), ("<p>a<style>b", ["a"]), ("<p>a<!-- b > c", ["a"]), ("<p>a<!--> b", ["a"]), ("<script>x</script>a <b", ["a <b"]), ("a < b", ["a < b"]), ("<p>a<script>x</script>", ["a"]),
+    ],
+)
+def test_blocks_behind_the_last_tag(page, texts):
+    assert [b.text for b in blocks.parse_blocks(page)] == texts
+
+
+def test_blocks_of_unclosed_tags_take_linear_time():
+    assert len(blocks.parse_blocks("<a href=" * 30_000)) == 1
+    assert boilerplate.frame("x" * 200_000, [])
+
+
 # ---- a small invented site
 RNG = random.Random(4)
 NOUNS = "lamp river engine window garden market bridge letter kitchen harbour ladder pocket mirror candle forest".split()
