@@ -61,6 +61,10 @@ class Units:
         """The largest gap between two boundaries of a kind, by the prefix sums; sentences are trimmed of white space."""
         if kind != "sentence":
             starts, ends = np.concatenate([[0], self.bounds[kind]]), self.ends[kind]
+            if kind == "paragraph":
+                # white space alone is no paragraph
+                some = np.searchsorted(self.solid, ends) > np.searchsorted(self.solid, starts)
+                starts, ends = starts[some], ends[some]
         else:
             # from the first solid character at or after a cut to the last one before the next
             starts, ends = self.cuts[:-1], self.cuts[1:]

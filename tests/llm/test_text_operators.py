@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -130,6 +130,8 @@ def plain_kind(text, limit):
 
 
 @settings(max_examples=400, deadline=None)
+@example("  ", 1)
+@example("", 1)
 @given(st.text(alphabet="ab .\n。!？\r\t", max_size=300), st.integers(1, 60))
 def test_boundary_kind_is_the_definition(text, limit):
     assert split.boundary_kind(text, limit) == plain_kind(text, limit)
