@@ -2,15 +2,16 @@
 
 A hidden Markov model labels characters: one clean state, and one state for
 each pair of the encoding a text was written in and the one it was read in.
-Emissions are character frequencies, learnt from a bounded sample of clean
-texts and from the same texts garbled by each pair.  Each labelled span gets
-the inverse transform of its state; what was lost stays U+FFFD.  A span is
-garbled only if the inverse is the likelier text under a clean model that also
-knows scripts the sample does not hold, by more than the state's prior costs.
+Emissions are character frequencies, counted in all clean texts and in the same
+texts garbled by each pair.  Each labelled span gets the inverse transform of
+its state; what was lost stays U+FFFD.  A span is garbled only if the inverse
+is the likelier text under a clean model that also knows scripts the texts do
+not hold, by more than the state's prior costs.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkloom.functions.batching import steps
-from inkloom.llm.residue import bounded_sample
 from inkloom.llm.scripts import CleanText
+from inkloom.session import written
 
-#: Clean texts the emissions are learnt from, at most.
-TRAINING_ROWS = 1000
 #: Steps of encodings: written in the first, read in the second, and so on by twos.
 PAIRS: dict[str, tuple[str, ...]] = {
     "utf8>cp1252": ("utf-8", "cp1252"),
@@ -74,6 +73,8 @@ PAIRS: dict[str, tuple[str, ...]] = {
     "cp1252>big5": ("cp1252", "big5"),
     "cp1252>sjis": ("cp1252", "cp932"),
 }
+#: Characters of clean text among which the seed sentences and backed-off counts weigh as they are set; the counts of more text are scaled to so many, none is left out.
+MASS = 900_000
 #: Log probabilities of the clean state turning into any garbled one, and back.
 ENTER, LEAVE = -11.0, -3.0
 #: Log probability of a character no training text showed, in the clean state and in a garbled one.
@@ -111,38 +112,41 @@ _SHOWN = re.compile(rf"(?<=[“\"'‘«„「『‹])[^\x00-\x7f”’»“」
 _OPEN, _CLOSE = "“\"'‘«„「『‹（([`", "”\"'’»“」』›）)]`"
 
 
+#: Stands for U+FFFD on the way to bytes: no encoding has it.
+_NO_BYTE = "\udcff"
+
+
+def _own_bytes(e: UnicodeEncodeError) -> tuple[bytes, int]:
+    """Control characters by their own byte, what was lost by 0xFF; what has no byte is dropped."""
+    left = (0xFF if ch == _NO_BYTE else ord(ch) for ch in e.object[e.start : e.end] if ch == _NO_BYTE or "\x80" <= ch < "\xa0")
+    return bytes(left), e.end
+
+
+codecs.register_error("inkloom-own-bytes", _own_bytes)
+
+
 def _to_bytes(text: str, encoding: str) -> bytes:
     """Encode, control characters by their own byte, what has no byte dropped."""
-    try:
-        if LOST in text and encoding != "utf-8":
-            raise UnicodeEncodeError(encoding, text, 0, 1, "lost")
-        return text.encode(encoding)
-    except UnicodeEncodeError:
-        out = bytearray()
-        for ch in text:
-            try:
-                out += b"\xff" if ch == LOST and encoding != "utf-8" else ch.encode(encoding)
-            except UnicodeEncodeError:
-                if 0x80 <= ord(ch) < 0xA0:
-                    out.append(ord(ch))
-        return bytes(out)
+    if encoding != "utf-8":
+        text = text.replace(LOST, _NO_BYTE)
+    return text.encode(encoding, "inkloom-own-bytes")
 
 
 @cache
-def _single_bytes(encoding: str) -> dict[int, str]:
-    """Bytes by their latin-1 code; those the encoding leaves undefined stay control characters."""
-    out = {}
-    for b in range(0x80, 0x100):
+def _single_bytes(encoding: str) -> str:
+    """Characters of all bytes; those the encoding leaves undefined stay control characters."""
+    out = []
+    for b in range(0x100):
         try:
-            out[b] = bytes([b]).decode(encoding)
+            out.append(bytes([b]).decode(encoding))
         except UnicodeDecodeError:
-            out[b] = chr(b)
-    return out
+            out.append(chr(b))
+    return "".join(out)
 
 
 def _from_bytes(raw: bytes, encoding: str) -> str:
     if encoding in ("cp1252", "cp1250", "cp1254", "cp1251"):
-        return raw.decode("latin-1").translate(_single_bytes(encoding))
+        return codecs.charmap_decode(raw, "strict", _single_bytes(encoding))[0]
     return raw.decode(encoding, "replace")
 
 
@@ -219,32 +223,42 @@ class EncodingModel:
 
     @classmethod
     def train(cls, texts: list[str]) -> EncodingModel:
-        """Learn emissions over the characters beyond ASCII, which alone tell the states apart."""
-        clean = Counter(ch for t in [*texts, _SEED] for ch in t if ch >= "\x80")
-        clean.pop(LOST, None)
+        """A model of these texts and the seed sentences."""
+        words = [w for t in texts for w in _words(t)]
+        held = Counter(words)
+        return cls.counted(_garbled_counts([w for w, _ in held], [han for _, han in held], list(held.values())), CleanText(texts))
+
+    @classmethod
+    def counted(cls, garbled: dict[int, tuple[np.ndarray, np.ndarray]], clean: CleanText) -> EncodingModel:
+        """Emissions over the characters beyond ASCII, which alone tell the states apart, from counts; the seed sentences are added.
+
+        ``garbled`` holds the characters each pair (by its number) gives, with
+        how often.  A character that was seen, however seldom among many, is
+        no less likely than one never seen.
+        """
+        scale = min(1.0, MASS / clean.total)
+        counts = Counter({chr(c): n * scale for c, n in zip(clean.one[0].tolist(), clean.one[1].tolist()) if c >= 0x80})
+        counts.pop(LOST, None)
         for ch, n in Counter(_SEED).items():
             if ch >= "\x80":
-                clean[ch] += 20 * n
-        total = sum(clean.values())
-        log_clean = {ch: float(np.log(n / total)) for ch, n in clean.items()}
+                counts[ch] += 21 * n
+        total = sum(counts.values())
+        log_clean = {ch: max(float(np.log(n / total)), _unseen(ch)) for ch, n in counts.items()}
+        garbled = {i: (codes, often * scale) for i, (codes, often) in garbled.items()}
+        seed = _garbled_counts(*zip(*((w, han, 1) for w, han in _words(_SEED))))
         names, tables = [], []
-        wide = [t for t in [*texts, _SEED] if not t.isascii()]
-        han = ["".join(t) for t in wide if sum(ch > "\u2dff" for ch in t) > 0.1 * len(t)]
-        latin = [t for t in wide if sum(ch > "\u2dff" for ch in t) <= 0.1 * len(t)]
-        for pair, steps in PAIRS.items():
-            held = wide if steps[0] == "utf-8" else latin if steps[0] == "cp1252" else han
-            counts: Counter = Counter()
-            for t in held:
-                counts.update(garble(t, pair))
-            counts = Counter({ch: n for ch, n in counts.items() if ch >= "\x80"})
-            if not counts:
+        for i, pair in enumerate(PAIRS):
+            held: Counter = Counter()
+            for codes, n in (x[i] for x in (garbled, seed) if i in x):
+                held.update(dict(zip(map(chr, codes.tolist()), n.tolist())))
+            if not held:
                 continue
-            n = sum(counts.values())
+            n = sum(held.values())
             names.append(pair)
-            tables.append({ch: float(np.log(k / n)) for ch, k in counts.items()})
+            tables.append({ch: max(float(np.log(k / n)), UNSEEN_GARBLED) for ch, k in held.items()})
         chars = set(log_clean).union(*tables) if tables else set(log_clean)
         odds = {ch: np.array([t.get(ch, UNSEEN_GARBLED) for t in tables], dtype=np.float32) - np.float32(log_clean.get(ch, _unseen(ch))) for ch in sorted(chars)}
-        return cls(names, odds, CleanText([*texts, *[_SEED] * 20]))
+        return cls(names, odds, clean.with_texts([_SEED] * 20, scale))
 
     def _windows(self, text: str) -> list[tuple[int, int]]:
         """Stretches around suspicious characters, each labelled as one piece."""
@@ -515,13 +529,91 @@ def _reference(ref: str) -> str:
     return chr(code) if 0x80 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else ref
 
 
-def train_model(clean: DataFrame, text_col: str, rows: int = TRAINING_ROWS) -> EncodingModel:
-    """A model from at most ``rows`` clean texts, those picked by hash; an empty table leaves the seed sentences."""
-    sample = bounded_sample(clean.select(F.col(text_col).alias("t")).filter("t is not null"), "t", rows)
-    return EncodingModel.train([r["t"] for r in sample])
+#: Stretches with characters beyond ASCII, cut at signs that no encoding has as a second byte: each is garbled as it is in its text.
+_WORD = re.compile(r"[^\x00-/]*[^\x00-\x7f][^\x00-/]*")
+
+
+def _words(text: str) -> list[tuple[str, bool]]:
+    """The stretches of a text that garbling changes, each with whether the text is Chinese."""
+    if text.isascii():
+        return []
+    han = sum(ch > "\u2dff" for ch in text) > 0.1 * len(text)
+    return [(w, han) for w in _WORD.findall(text)]
+
+
+def _garbled_counts(words: list[str], han: list[bool], n: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By the number of a pair the characters beyond ASCII that it makes of the words, with how often; ``n`` is how often each word stands."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    han, n = np.array(han, dtype=bool), np.array(n, dtype=np.int64)
+    held = {}
+    for written_in, mask in (("utf-8", np.ones(len(n), dtype=bool)), ("cp1252", ~han), ("", han)):
+        at = np.flatnonzero(mask)
+        held[written_in] = "\n".join([words[i] for i in at]), n[at]
+    for i, (pair, steps_) in enumerate(PAIRS.items()):
+        text, often = held.get(steps_[0]) or held[""]
+        if not len(often):
+            continue
+        # line ends outlast every wrong reading
+        codes = np.frombuffer(garble(text, pair).encode("utf-32-le"), dtype=np.uint32)
+        weights = often[np.cumsum(codes == 10)]
+        wide = codes >= 0x80
+        counts = np.bincount(codes[wide], weights=weights[wide])
+        found = np.flatnonzero(counts)
+        if len(found):
+            out[i] = found, counts[found].astype(np.int64)
+    return out
 
 
-def find_garbled(docs: DataFrame, clean: DataFrame, *, id_col: str, fields: dict[str, bool], clean_col: str, training_rows: int = TRAINING_ROWS) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one to three characters (kinds 1 to 3, by key) of texts, and their words (kind 0)."""
+    for batch in batches:
+        for part in steps(batch, [0], 10_000):
+            texts = part.column(0).to_pylist()
+            words = Counter(w for t in texts for w in _words(t))
+            kind, key, n = [np.zeros(len(words), dtype=np.int64)], [np.zeros(len(words), dtype=np.int64)], [np.fromiter(words.values(), dtype=np.int64, count=len(words))]
+            for k, (keys, counts) in enumerate(CleanText(texts).tables, 1):
+                kind.append(np.full(len(keys), k, dtype=np.int64))
+                key.append(keys)
+                n.append(counts)
+            rest = sum(map(len, key)) - len(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(kind)), pa.array(np.concatenate(key)), pa.array([w for w, _ in words] + [None] * rest, pa.string()),
+                    pa.array([h for _, h in words] + [None] * rest, pa.bool_()), pa.array(np.concatenate(n)),
+                ],
+                names=["kind", "key", "word", "han", "n"],
+            )
+
+
+def _garbled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in steps(batch, [0], 100_000):
+            for pair, (codes, n) in _garbled_counts(*(part.column(c).to_pylist() for c in range(3))).items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), pair)), pa.array(codes), pa.array(n)], names=["pair", "code", "n"])
+
+
+def train_model(clean: DataFrame, text_col: str) -> EncodingModel:
+    """A model of all clean texts, equal ones counted once; an empty table leaves the seed sentences.
+
+    Texts are counted where they lie and every different word of them is
+    garbled once.  The driver gets sums alone: the different characters of
+    each pair, and the different runs of up to three characters.
+    """
+    texts = clean.select(F.col(text_col).alias("t")).filter("t is not null").distinct()
+    counts = texts.mapInArrow(_counted, "kind long, key long, word string, han boolean, n long").groupBy("kind", "key", "word", "han").agg(F.sum("n").alias("n"))
+    counts = written(counts, "clean-counts")
+    runs = counts.filter("kind > 0").select("kind", "key", "n").toArrow()
+    kind, key, n = (np.asarray(runs.column(c)) for c in range(3))
+    tables = []
+    for k in (1, 2, 3):
+        order = np.argsort(key[kind == k])
+        tables.append((key[kind == k][order], n[kind == k][order]))
+    sums = counts.filter("kind = 0").select("word", "han", "n").mapInArrow(_garbled, "pair long, code long, n long").groupBy("pair", "code").agg(F.sum("n").alias("n")).toArrow()
+    pair, code, n = (np.asarray(sums.column(c)) for c in range(3))
+    return EncodingModel.counted({int(i): (code[pair == i], n[pair == i]) for i in np.unique(pair)}, CleanText.counted(tables))
+
+
+def find_garbled(docs: DataFrame, clean: DataFrame, *, id_col: str, fields: dict[str, bool], clean_col: str) -> DataFrame:
     """``(id, field, restored, n_spans, pairs)`` of every field that holds garbled text.
 
     ``fields`` maps column names to whether they are HTML (numeric references
@@ -529,7 +621,7 @@ def find_garbled(docs: DataFrame, clean: DataFrame, *, id_col: str, fields: dict
     fields are never garbled; repeated ids keep a row each; other columns are
     ignored; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train_model(clean, clean_col, training_rows))
+    model = docs.sparkSession.sparkContext.broadcast(train_model(clean, clean_col))
     slim = docs.select(F.col(id_col).alias("__id"), *[F.col(f).alias(f"__{f}") for f in fields])
     schema = T.StructType(
         [slim.schema["__id"], T.StructField("field", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("n_spans", T.IntegerType()), T.StructField("pairs", T.ArrayType(T.StringType()))]

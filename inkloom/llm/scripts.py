@@ -30,6 +30,8 @@ SIGNS, SIGN, NEVER = 0.5, 0.02, 1e-6
 AGAIN = 0.2
 #: Weight of the backed-off probability in counts of a bigram's and a trigram's context.
 BACK_TWO, BACK_THREE = 5.0, 3.0
+#: What the count of a run of two or three is discounted by, which its backed-off probability makes good: once among many texts says little.
+DISCOUNT = 0.75
 #: What a sample's character loses where the one before is a letter of another script, or one of them is a sign that stands in no word.
 MIXED = 0.02
 #: How likely a letter is one of its script's everyday ones.
@@ -139,12 +141,33 @@ class CleanText:
     """Log probability of texts as clean text."""
 
     def __init__(self, texts: list[str]):
-        codes = _codes("\n".join(texts))
-        self.total = max(len(codes), 1)
-        self.one = np.unique(codes, return_counts=True)
-        self.two = np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
-        three = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]) if len(codes) > 2 else np.zeros(0, np.int64)
-        self.three = np.unique(three, return_counts=True)
+        """Runs of one to three characters of each text and the line ends around it; none goes from one text into the next."""
+        codes = _codes("\n" + "\n".join(texts) + "\n" if texts else "")
+        between = np.zeros(len(codes), dtype=bool)
+        between[np.cumsum([len(t) + 1 for t in texts])[:-1]] = True
+        tables = [np.unique(codes[1:], return_counts=True), np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)]
+        three = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[~between[1:-1]] if len(codes) > 2 else np.zeros(0, np.int64)
+        self._hold([*tables, np.unique(three, return_counts=True)])
+
+    @classmethod
+    def counted(cls, tables: list[tuple[np.ndarray, np.ndarray]]) -> CleanText:
+        """From the ``tables`` of others, added up."""
+        model = cls.__new__(cls)
+        model._hold(tables)
+        return model
+
+    def _hold(self, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.tables = tables
+        self.one, self.two, self.three = tables
+        self.total = max(float(self.one[1].sum()), 1.0)
+
+    def with_texts(self, texts: list[str], scale: float = 1.0) -> CleanText:
+        """The model of these texts as well, its own counts times ``scale``."""
+        out = []
+        for (keys, n), (more, m) in zip(self.tables, CleanText(texts).tables):
+            known, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            out.append((known, np.bincount(at, weights=np.concatenate([n * scale, m]), minlength=len(known))))
+        return self.counted(out)
 
     @staticmethod
     def _count(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -165,8 +188,8 @@ class CleanText:
         by_script = _WEIGHTS[2 * t.astype(np.int64) + _UPPER[before], 2 * s.astype(np.int64) + _UPPER[low]] * _SHARE[low]
         base = 0.5 * self._count(self.one, ch) / self.total * np.where(_MIXES[t, s], MIXED, 1.0) + 0.5 * by_script
         base += AGAIN * ((ch == p1) & ~_IS_LETTER[s] & (ch >= 0x80) & (ch != 0xFFFD))
-        two = (self._count(self.two, p1 << 21 | ch) + BACK_TWO * base) / (self._count(self.one, p1) + BACK_TWO)
-        three = (self._count(self.three, p2 << 42 | p1 << 21 | ch) + BACK_THREE * two) / (self._count(self.two, p2 << 21 | p1) + BACK_THREE)
+        two = (np.maximum(self._count(self.two, p1 << 21 | ch) - DISCOUNT, 0) + BACK_TWO * base) / (self._count(self.one, p1) + BACK_TWO)
+        three = (np.maximum(self._count(self.three, p2 << 42 | p1 << 21 | ch) - DISCOUNT, 0) + BACK_THREE * two) / (self._count(self.two, p2 << 21 | p1) + BACK_THREE)
         three = np.where(ch == 48, three / 10, three)
         sums = np.concatenate([[0.0], np.cumsum(np.log(three))])
         # three[i] is the character at i + 2; a text's own begin two after its start

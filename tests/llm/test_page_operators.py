@@ -87,6 +87,16 @@ def test_encoding_of_a_table(spark):
     assert encoding.find_garbled(df.filter("id = 4"), clean.limit(0), **args).count() == 2  # the seed sentences serve
 
 
+def test_encodings_are_learnt_from_every_clean_text(spark):
+    texts = [f"Der Satz {i} nennt die Größe des Gartens, 第{i}句说的是放着的文章" for i in range(3000)]
+    odd = "Ωμέγα стоит здесь"
+    clean = spark.createDataFrame([(t,) for t in [*texts, odd, odd, None]], "t string").repartition(5)
+    table, whole = encoding.train_model(clean, "t"), encoding.EncodingModel.train([*texts, odd])
+    assert table.states == whole.states and table.odds.keys() == whole.odds.keys()
+    assert all(np.array_equal(table.odds[ch], whole.odds[ch]) for ch in whole.odds)
+    assert all(np.array_equal(x, y) for a, b in zip(table.clean.tables, whole.clean.tables) for x, y in zip(a, b))
+
+
 # ---- blocks
 def test_blocks_of_malformed_markup():
     page = "<html><title>T</title><body>lead<p>one <b>two</b>\n three<p>four<br>five<script>var x='<p>no</p>'</script><!-- <p>no</p> --><li><a href='/x'>link</a><li>a &amp; b&nbsp;c<div>n < 5 <%= text %></div><style>p{}</style>tail"
