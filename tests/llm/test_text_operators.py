@@ -10,7 +10,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkloom.llm import leakage, lines, mixing, neardup, quality, split
+from inkloom.llm import leakage, lines, mixing, neardup, quality, registry, split
 
 DOCS = "id long, text string, source string, key string, n string, a string, hash string"
 
@@ -76,6 +76,17 @@ def test_line_at_the_limits_passes_without_significance(spark):
     assert {r["id"] for r in lines.find_excess_lines(df, excess, **ARGS).collect()} == set(range(10))
 
 
+def test_lines_are_found_without_tests_that_decide_nothing(spark, smallest, monkeypatch):
+    df = repeated(spark)
+    tested = {(r["source"], r["line"]) for r in lines.excess_lines(df, **ARGS).collect()}
+    want = {str(r) for r in registry.QUERIES["p4_found"](spark, smallest).collect()}
+    monkeypatch.setattr(lines, "_bh_threshold", lambda *_: pytest.fail("tests run"))
+    assert {(r["source"], r["line"]) for r in lines.lines_over_limits(df, **ARGS).collect()} == tested
+    assert lines.lines_over_limits(df.limit(0), **ARGS).count() == 0
+    assert {str(r) for r in registry.QUERIES["p4_found"](spark, smallest).collect()} == want
+    assert registry.QUERIES["p4_cleaned"](spark, smallest).count()
+
+
 def test_lines_of_an_empty_table(spark):
     df = docs(spark, [])
     assert lines.find_excess_lines(df, lines.excess_lines(df, **ARGS), **ARGS).count() == 0
