@@ -34,17 +34,34 @@ def _buckets(codes: np.ndarray, size: int, bits: int = BITS) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def counted(texts: list[str], bits: int = BITS) -> np.ndarray:
+    """Counts (n-gram size x bucket) of the texts' n-grams; none goes from one text into the next."""
+    codes, starts = _codes([t.lower() for t in [*texts, ""]])
+    after = np.repeat(np.append(starts[1:], len(codes)), np.diff(np.append(starts, len(codes))))
+    at = np.arange(len(codes))
+    return np.array([np.bincount(_buckets(codes, size, bits)[at + size - 1 <= np.minimum(after, len(codes) - 1)], minlength=1 << bits) for size in SIZES])
+
+
 class NgramModels:
     """Log probabilities of hashed character n-grams in each class."""
 
     def __init__(self, classes: dict[str, list[str]], bits: int = BITS):
-        self.names, self.bits = list(classes), bits
-        self.logs = []
-        for size in SIZES:
+        lower = [[t.lower() for t in texts] for texts in classes.values()]
+        self._fit(list(classes), bits, [[np.bincount(_buckets(_codes(x)[0], size, bits), minlength=1 << bits).astype(np.float64) if x else np.zeros(1 << bits) for size in SIZES] for x in lower])
+
+    @classmethod
+    def of_counts(cls, classes: dict[str, np.ndarray], bits: int = BITS) -> NgramModels:
+        """Models of texts that were ``counted``."""
+        model = cls.__new__(cls)
+        model._fit(list(classes), bits, list(classes.values()))
+        return model
+
+    def _fit(self, names: list[str], bits: int, counted: list) -> None:
+        self.names, self.bits, self.logs = names, bits, []
+        for i in range(len(SIZES)):
             rows = []
-            for texts in classes.values():
-                lower = [t.lower() for t in texts]
-                counts = np.bincount(_buckets(_codes(lower)[0], size, bits), minlength=1 << bits).astype(np.float64) if lower else np.zeros(1 << bits)
+            for own in counted:
+                counts = np.asarray(own[i], dtype=np.float64)
                 # one endless run of a character is not the whole class
                 counts = np.minimum(counts, max(TOP * np.minimum(counts, np.sort(counts)[-MANY]).sum(), 1.0))
                 counts *= MASS / max(counts.sum(), 1.0)

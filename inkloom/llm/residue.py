@@ -11,7 +11,9 @@ no page shows.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,8 @@ from pyspark.sql import types as T
 from inkloom.llm import residue_seeds
 from inkloom.functions.batching import steps
 from inkloom.llm.blocks import Block, parse_blocks
-from inkloom.llm.ngrams import NgramModels
+from inkloom.llm.ngrams import BITS, SIZES, NgramModels, counted
+from inkloom.session import written
 
 #: Pages whose blocks, labelled by the text made from them, train the article and surroundings models, at most.
 TRAINING_PAGES = 2500
@@ -126,16 +129,18 @@ def residue_texts(good: dict[str, list[str]], shown: Counter, n_good: int, blank
             scores = NgramModels({**good, "residue": [*other, *residue_seeds.residue()]}).text_scores(own)
             for t, s in zip(own, scores):
                 margin[t] = max(margin.get(t, -np.inf), float(s[2] - s[:2].max()))
-    found = []
-    for page in pages:
-        new = [(margin[t], k, t) for k, t in page if k not in shown]
-        own = [t for m, k, t in new if m >= (0 if rate[k] > 1 else UNIQUE_MARGIN)]
-        own += [t for k, t in page if k in shown and _more_often(rate[k], len(pages), shown[k], n_good)]
-        if not own:
-            both = [(rate[k] / len(pages) * n_good / shown[k], t) for k, t in page if k in shown]
-            own = [max(both)[1]] if both and (max(both)[0] > 1.0 or not new) else [max(new)[2]] if new else []
-        found += own
-    return found
+    return [x for page in pages for x in _residue_of([(t, rate[k], shown.get(k), margin.get(t)) for k, t in page], len(pages), n_good)]
+
+
+def _residue_of(page: list[tuple[str, int, int | None, float | None]], n_pages: int, n_good: int) -> list[str]:
+    """The residue of a page, from its blocks with how many pages without text and how many good ones show them, and the margin of new ones."""
+    new = [(m, letters(t), t, r) for t, r, s, m in page if not s]
+    own = [t for m, _, t, r in new if m >= (0 if r > 1 else UNIQUE_MARGIN)]
+    own += [t for t, r, s, _ in page if s and _more_often(r, n_pages, s, n_good)]
+    if not own:
+        both = [(r / n_pages * n_good / s, t) for t, r, s, _ in page if s]
+        own = [max(both)[1]] if both and (max(both)[0] > 1.0 or not new) else [max(new)[2]] if new else []
+    return own
 
 
 def _more_often(k1: int, n1: int, k2: int, n2: int) -> bool:
@@ -189,6 +194,154 @@ def page_models(sample: list[tuple[str, str]], blank: list[str]) -> NgramModels:
     return NgramModels(learnt(sample, blank))
 
 
+def _key(text: str) -> int:
+    """64-bit key of a block's letters."""
+    return int.from_bytes(hashlib.blake2b(letters(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _half(page: str) -> int:
+    return zlib.crc32(page.encode("utf-8", "surrogatepass")) & 1
+
+
+_SUMS = "kind long, key long, n long"
+
+
+def _sums(kind, key, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in (np.broadcast_to(kind, len(key)), key, n)], names=["kind", "key", "n"])
+
+
+def _emitted(counts: np.ndarray, kind: int) -> pa.RecordBatch:
+    flat = counts.ravel()
+    at = np.flatnonzero(flat)
+    return _sums(kind, at, flat[at])
+
+
+def _tables(sums: DataFrame, kinds: int, bits: int = BITS) -> list[np.ndarray]:
+    """Counts of n-grams by kind; what reaches the driver is bounded by the buckets."""
+    rows = sums.filter(F.col("kind") < kinds).toArrow()
+    kind, key, n = (np.asarray(rows.column(c)) for c in range(3))
+    out = []
+    for k in range(kinds):
+        flat = np.zeros(len(SIZES) << bits)
+        flat[key[kind == k]] = n[kind == k]
+        out.append(flat.reshape(len(SIZES), -1))
+    return out
+
+
+def _text_counts(bits: int):
+    """Sums n-gram counts of ``(kind, text)`` rows of two kinds where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(SIZES), 1 << bits), dtype=np.int64)
+        for batch in batches:
+            for part in steps(batch, [1], 20_000):
+                kind, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for k in set(kind):
+                    total[k] += counted([t for x, t in zip(kind, texts) if x == k], bits)
+        for k in (0, 1):
+            yield _emitted(total[k], k)
+
+    return run
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _good_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-gram counts of article (kinds 0, 1 by half) and surroundings (2, 3); pages that show a block (4, by key); pages (5)."""
+    total = np.zeros((4, len(SIZES), 1 << BITS), dtype=np.int64)
+    for batch in batches:
+        for part in steps(batch, [0, 1], 500):
+            texts: list[list[str]] = [[], [], [], []]
+            keys: Counter = Counter()
+            for page, extracted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                told = [(b.text, inside) for b, inside in labelled_blocks(parse_blocks(page), extracted) if b.link_chars < LINKED * len(b.text)]
+                for t, inside in told:
+                    texts[2 * (not inside) + _half(page)].append(t)
+                keys.update({_key(t) for t, _ in told})
+            for k, own in enumerate(texts):
+                if own:
+                    total[k] += counted(own)
+            yield _sums(4, list(keys), list(keys.values()))
+            yield _sums(5, [0], [part.num_rows])
+    for k in range(4):
+        yield _emitted(total[k], k)
+
+
+def whole_residue(docs: DataFrame, html: str, extracted: str) -> tuple[dict[str, np.ndarray], DataFrame]:
+    """What ``learnt`` takes from samples, of all pages: counted n-grams of articles, surroundings and residue, and the residue's texts.
+
+    Every page counts as often as it is stored.  The driver gets counts by
+    bucket alone.
+    """
+    some = docs.select(F.col(html).alias("h"), F.col(extracted).alias("m")).filter(F.col("h").rlike(r"\S"))
+    has = F.coalesce(F.col("m").rlike(r"\S"), F.lit(False))
+    sums = written(_summed(some.filter(has).mapInArrow(_good_counts, _SUMS)), "page-counts")
+    a0, a1, s0, s1 = _tables(sums, 4)
+    n_good = (sums.filter("kind = 5").agg(F.sum("n")).head()[0]) or 0
+    good = {"article": a0 + a1, "around": s0 + s1}
+    spread = docs.sparkSession.sparkContext.broadcast
+    first = spread(NgramModels.of_counts({"article": a0, "around": s0}))
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, [0, 1], 500):
+                rows = [(h, m) for h, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if _half(h)]
+                long_ = [b.text for h, m in rows for b, inside in labelled_blocks(parse_blocks(h), m) if inside and len(b.text) >= ARTICLE_BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(first.value.text_scores(long_)[:, 0].astype(np.float64), 4))], names=["s"])
+
+    # scores are rounded, so that those told apart are few
+    least = some.filter(has).mapInArrow(held_out, "s double").agg(F.percentile("s", F.lit(0.05))).head()[0] if n_good else None
+
+    def blank_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, [1], 500):
+                out = []
+                for i, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    told = _unlinked(page)
+                    long_ = [t for t in told if len(t) >= ARTICLE_BLOCK]
+                    scores = first.value.text_scores(long_)
+                    if least is None or sum(len(t) for t, s in zip(long_, scores) if s[0] >= least and s[0] > s[1]) < ARTICLE_CHARS:
+                        out += [(i, _half(page), _key(t), t) for t in told] or [(i, 0, None, None)]
+                cols = list(zip(*out)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["page", "half", "key", "text"])
+
+    numbered = some.filter(~has).select(F.monotonically_increasing_id().alias("page"), "h")
+    blocks = written(numbered.mapInArrow(blank_blocks, "page long, half long, key long, text string"), "blank-blocks")
+    n_pages = blocks.agg(F.count_distinct("page")).head()[0]
+    rate = blocks.groupBy("key").agg(F.count_distinct("page").alias("rate"))
+    shown = sums.filter("kind = 4").select("key", F.col("n").alias("shown"))
+    facts = written(blocks.join(rate, "key").join(shown, "key", "left"), "blank-facts")
+    new = facts.filter("shown is null").select("half", "text")
+    h0, h1 = _tables(_summed(new.mapInArrow(_text_counts(BITS), _SUMS)), 2)
+    seeds = counted(residue_seeds.residue())
+    cross = spread([NgramModels.of_counts({**good, "residue": other + seeds}) for other in (h1, h0)])
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, [1], 20_000):
+                half, texts = np.asarray(part.column(0)), part.column(1).to_pylist()
+                out = np.zeros(len(texts))
+                for h in (0, 1):
+                    at = np.flatnonzero(half == h)
+                    if len(at):
+                        scores = cross.value[h].text_scores([texts[i] for i in at])
+                        out[at] = scores[:, 2] - scores[:, :2].max(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out)], names=["text", "margin"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [t for page in batch.column(0).to_pylist() for t in _residue_of([(b["text"], b["rate"], b["shown"], b["margin"]) for b in page], n_pages, n_good)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+
+    margin = new.distinct().mapInArrow(margins, "text string, margin double").groupBy("text").agg(F.max("margin").alias("margin"))
+    pages = facts.join(margin, "text", "left").groupBy("page").agg(F.collect_list(F.struct("text", "rate", "shown", "margin")).alias("b"))
+    texts = written(pages.select("b").mapInArrow(decide, "text string"), "residue-texts")
+    found, _ = _tables(_summed(texts.select(F.lit(0).cast("long").alias("kind"), "text").mapInArrow(_text_counts(BITS), _SUMS)), 2)
+    return {**good, "residue": found + seeds}, texts
+
+
 def window_shares(total: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters of each text in windows of article text, and in windows of residue, from ``NgramModels.scores``."""
     n = len(starts)
@@ -227,16 +380,16 @@ def residue_pages(models: NgramModels, pages: list[list[Block]], titles: list[st
     return (r > 0) & (a < COVERAGE * (a + r))
 
 
-def find_residue_pages(docs: DataFrame, *, id_col: str, html_col: str, extracted_col: str, title_col: str, training_pages: int = TRAINING_PAGES) -> DataFrame:
+def find_residue_pages(docs: DataFrame, *, id_col: str, html_col: str, extracted_col: str, title_col: str, whole: tuple[dict[str, np.ndarray], DataFrame] | None = None) -> DataFrame:
     """``(id, is_residue)`` of every page with text.
 
-    The models learn from at most ``training_pages`` pages whose extracted text
-    tells article from surroundings, and as many without extracted text; every
-    page is judged by its HTML alone.
+    The models learn from all pages whose extracted text tells article from
+    surroundings, and all without extracted text (``whole`` is what they gave,
+    if known); every page is judged by its HTML alone.
     NULL and empty pages hold no residue and are left out; repeated ids keep a
     row each; other columns are ignored; an empty table gives no rows.
     """
-    models = docs.sparkSession.sparkContext.broadcast(page_models(*_training_sample(docs, html_col, extracted_col, training_pages)))
+    models = docs.sparkSession.sparkContext.broadcast(NgramModels.of_counts((whole or whole_residue(docs, html_col, extracted_col))[0]))
     slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(title_col), F.lit("")).alias("__title"), F.col(html_col).alias("__html")).filter(F.trim("__html") != "")
     schema = T.StructType([slim.schema["__id"], T.StructField("is_residue", T.BooleanType())])
 
@@ -249,8 +402,6 @@ def find_residue_pages(docs: DataFrame, *, id_col: str, html_col: str, extracted
     return slim.mapInArrow(judge, schema).withColumnRenamed("__id", id_col)
 
 
-#: Notes and pages without extracted text from which the note models are fitted, at most each.
-TRAINING_NOTES = 4000
 #: By how much (log probability, in all) a clause must be likelier as residue than as a report of the collector.
 CLAUSE_RATIO = 14.0
 #: Share of a clause's characters at which the residue model must know the n-gram: what no class has seen is no residue.
@@ -291,6 +442,13 @@ class NoteModel:
         own = [c for c, known in zip(told, NgramModels({"residue": pages}, NOTE_BITS).known_shares(told, "residue")) if known < KNOWN]
         self.models = NgramModels({"residue": pages, "collector": [*own, *residue_seeds.collector()]}, NOTE_BITS)
 
+    @classmethod
+    def of_counts(cls, residue: np.ndarray, collector: np.ndarray, sources: set[str]) -> NoteModel:
+        """From counted n-grams."""
+        model = cls.__new__(cls)
+        model.sources, model.models = sources, NgramModels.of_counts({"residue": residue, "collector": collector}, NOTE_BITS)
+        return model
+
     def bare(self, parts: list[str]) -> list[str]:
         """The clauses of a note without its sources."""
         at = 0
@@ -317,19 +475,51 @@ def residue_notes(model: NoteModel, notes: list[str]) -> list[bool]:
     return (np.bincount(owner, weights=hit, minlength=len(notes)) > 0).tolist()
 
 
-def find_residue_notes(rows: DataFrame, pages: DataFrame, *, id_col: str, note_col: str, html_col: str, extracted_col: str, training: int = TRAINING_NOTES) -> DataFrame:
+def whole_notes(notes: DataFrame, texts: DataFrame) -> NoteModel:
+    """What ``NoteModel`` takes from lists, of all different ``notes`` and the residue's ``texts``."""
+    notes = written(notes.select(F.col(notes.columns[0]).alias("note")).distinct(), "notes")
+    spread = notes.sparkSession.sparkContext.broadcast
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = {(_masked(p[0]), _masked(p[1])) for n in batch.column(0).to_pylist() if len(p := clauses(n)) > 1}
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["first", "next"])
+
+    after = notes.mapInArrow(followed, "first string, next string").distinct().groupBy("first").count()
+    sources = {r[0] for r in after.filter(F.col("count") >= FOLLOWERS).select("first").collect()}
+    found, _ = _tables(_summed(texts.select(F.lit(0).cast("long").alias("kind"), "text").mapInArrow(_text_counts(NOTE_BITS), _SUMS)), 2, NOTE_BITS)
+    found = found + counted(residue_seeds.residue(), NOTE_BITS)
+    seeds = counted(residue_seeds.collector(), NOTE_BITS)
+    model = spread(NoteModel.of_counts(found, seeds, sources))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [c for n in batch.column(0).to_pylist() for c in model.value.bare(clauses(n))]
+            out = [c for c, known in zip(out, model.value.models.known_shares(out, "residue")) if known < KNOWN]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(c) for c in out], pa.int64()), pa.array(out, pa.string())], names=["key", "text"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_key(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["key"])
+
+    seed_keys = [(_key(t),) for t in residue_seeds.residue()]
+    shown = texts.distinct().mapInArrow(keys, "key long").union(notes.sparkSession.createDataFrame(seed_keys, "key long")).distinct()
+    own = notes.mapInArrow(told, "key long, text string").join(shown, "key", "left_anti").select(F.lit(0).cast("long").alias("kind"), "text")
+    reports, _ = _tables(_summed(own.mapInArrow(_text_counts(NOTE_BITS), _SUMS)), 2, NOTE_BITS)
+    return NoteModel.of_counts(found, reports + seeds, sources)
+
+
+def find_residue_notes(rows: DataFrame, pages: DataFrame, *, id_col: str, note_col: str, html_col: str, extracted_col: str, whole: tuple[dict[str, np.ndarray], DataFrame] | None = None) -> DataFrame:
     """``(id)`` of every row whose note carries residue text of a page.
 
-    The models learn from at most ``training`` different notes and
-    ``TRAINING_PAGES`` pages with and without extracted text; every note is
+    The models learn from all different notes and all pages with and without
+    extracted text (``whole`` is what the pages gave, if known); every note is
     judged.  Equal notes of a batch are judged once, without a shuffle.  NULL
     and blank notes carry none; repeated ids keep a row each; an empty table
     gives no rows.
     """
     slim = rows.select(F.col(id_col).alias("__id"), F.col(note_col).alias("__note")).filter(F.col("__note").rlike(r"\S"))
-    sample = [r[0] for r in bounded_sample(slim.select("__note"), "__note", training)]
-    found = learnt(*_training_sample(pages, html_col, extracted_col, TRAINING_PAGES))["residue"]
-    models = rows.sparkSession.sparkContext.broadcast(NoteModel(sample, found))
+    models = rows.sparkSession.sparkContext.broadcast(whole_notes(slim.select("__note"), (whole or whole_residue(pages, html_col, extracted_col))[1]))
     schema = T.StructType([slim.schema["__id"]])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,6 +205,24 @@ def noted(site, spark):
     return df.union(spark.createDataFrame(pages, SCHEMA)), notes
 
 
+def test_residue_is_learnt_from_every_page_and_note(noted, spark, monkeypatch):
+    good = [(f"<p>{sentence()} {i}</p><p>Home {i}</p>", sentence()) for i in range(40)]
+    rows = [(h, h[3:].split("</p>")[0]) for h, _ in good] + [(f"<p>{SHOWN[0]}</p><p>Home</p>", " ")] * 30
+    df = spark.createDataFrame(rows, "h string, m string").repartition(3)
+    monkeypatch.setattr(residue, "bounded_sample", lambda *_: pytest.fail("a sample is taken"))
+    counts, texts = residue.whole_residue(df, "h", "m")
+    article = [h[3:].split("</p>")[0] for h, _ in good]
+    assert np.array_equal(counts["article"], ngrams.counted(article))
+    assert np.array_equal(counts["around"], ngrams.counted([f"Home {i}" for i in range(40)]))
+    assert [r["text"] for r in texts.collect()] == [SHOWN[0]] * 30
+    notes = spark.createDataFrame([(f"report {i} of kind {chr(97 + i % 26) * 5}",) for i in range(5000)], "n string")
+    model = residue.whole_notes(notes, texts)
+    every = [r["n"] for r in notes.collect()]
+    seeds = ngrams.counted(residue.residue_seeds.collector(), residue.NOTE_BITS)
+    want = ngrams.NgramModels.of_counts({"collector": ngrams.counted(every, residue.NOTE_BITS) + seeds}, residue.NOTE_BITS)
+    assert all(np.array_equal(x[1], y[0]) for x, y in zip(model.models.logs, want.logs))
+
+
 def test_residue_notes(noted, spark):
     pages, notes = noted
     df = spark.createDataFrame([(i, n, "c") for i, n, _ in notes], "id long, note string, tbl string")
